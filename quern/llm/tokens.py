@@ -3,8 +3,8 @@
 The library's own speed on text with many rare words is about 2 MB/s a core. Two exact ways are faster, for two kinds of vocabulary:
 
 * byte-level, where a token's id is its merge's place: tiktoken, fed with the same table;
-* pre-tokens without white space and ends of words: chunks cut at white space, their pieces by the
-  vocabulary's split pattern, merged by segment trees (pairs.py), with bounded caches.
+* pre-tokens without white space and ends of words: chunks cut at white space, their pieces by the vocabulary's split pattern, merged by
+  tiktoken with a table that holds the ends, with bounded caches.
 
 Texts with characters outside PLAIN (where libraries' Unicode versions may differ), odd separators, and all other vocabularies
 go through the tokenizers library itself.
@@ -20,7 +20,7 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
-from quern.llm.pairs import BytePairs, Memo
+from quern.llm.pairs import Memo
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -45,6 +45,18 @@ def plain_chunks(text: str) -> list[str] | None:
     return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
 
+def is_plain(text: str) -> bool:
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _NOT_PLAIN.search(text)
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies' letter for each byte: printable Latin-1 characters stand for themselves, the rest follow from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,7 +83,7 @@ class JsonTokenizer:
         """A few hundred texts at most in a call."""
         if self.fast is None:
             return [self.whole(t) for t in texts]
-        plain = [t.isascii() and not re.search(rf"[{_SEPARATORS}]", t) or not _NOT_PLAIN.search(t) for t in texts]
+        plain = list(map(is_plain, texts))
         got = iter(self.fast([t for t, p in zip(texts, plain, strict=True) if p]))
         return [next(got) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
@@ -104,15 +116,23 @@ class JsonTokenizer:
         split = steps[0]
         if split.get("behavior") != "Removed" or not split.get("invert") or steps[1].get("use_regex") or steps[1].get("add_prefix_space"):
             return None
+        # Ids must be: 256 bytes, 256 bytes at a word's end, a token for each merge. As ranks, with a byte that UTF-8 never has for
+        # the word's end, the ends are joined to their bytes first, then pairs merge in order.
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        first = np.array([vocab.get(letters[b], -1) for b in range(256)], dtype=np.int64)
-        last = np.array([vocab.get(letters[b] + suffix, -1) for b in range(256)], dtype=np.int64)
-        made = np.array([vocab.get(a + b, -1) for a, b in merges], dtype=np.int64)
-        sides = np.array([(vocab.get(a, -1), vocab.get(b, -1), i) for i, (a, b) in enumerate(merges)], dtype=np.int64).reshape(-1, 3)
-        if (first < 0).any() or (last < 0).any() or (made < 0).any() or (sides < 0).any() or len({(a, b) for a, b in merges}) != len(merges):
+        back = {c: b for b, c in letters.items()}
+        if any(vocab.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)) or len(vocab) != 512 + len(merges):
+            return None
+        ranks = {bytes(map(back.__getitem__, t.removesuffix(suffix))) + b"\xff" * t.endswith(suffix): i for t, i in vocab.items()}
+        if len(ranks) != len(vocab) or any(not t.removesuffix(suffix) for t in vocab) or b"\xff" not in ranks or b"\xff\xff" not in ranks:
             return None
-        pairs, pattern = BytePairs(sides, made, first, last), regex.compile(split["pattern"]["Regex"])
-        pieces = Memo(lambda new: pairs.encode([p.encode() for p in new], self.dtype), self.cache_chunks)
+        single = [t for t in ranks if len(t) == 1 or len(t) == 2 and t[1] == 255]
+        if len(single) < 512 or any(ranks[t] >= 512 for t in single):
+            return None
+        import tiktoken
+
+        pattern, coder = regex.compile(split["pattern"]["Regex"]), tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        pack = self.dtype.type
+        pieces = Memo(lambda new: [np.array(coder(p.encode() + b"\xff"), dtype=pack).tobytes() for p in new], self.cache_chunks)
 
         def cut(chunk: str) -> list[str]:
             if chunk.isalpha():
