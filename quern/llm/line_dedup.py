@@ -68,10 +68,9 @@ class CuckooFilter:
         mark, one, two = self._places(keys)
         rng = np.random.default_rng(len(keys))
         for k in range(self.MAX_KICKS):
-            for at in (one, two):
-                if len(mark):
-                    left = ~self._put(at, mark)
-                    mark, one, two = mark[left], one[left], two[left]
+            for second in (False, True):
+                left = ~self._put(two if second else one, mark)
+                mark, one, two = mark[left], one[left], two[left]
             if not len(mark):
                 return True
             if k < 8:
