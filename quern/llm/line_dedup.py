@@ -6,8 +6,9 @@ marks). Inserting documents adds references and puts keys that become common int
 and takes keys that are common no more out of them, which cuckoo filters allow. A text's lines are first asked of the filters, which
 takes no shuffle; the few that may be common are then looked up in the exact table, so that false positives do no harm.
 
-The filters are about 2.2 bytes for each common key. They are broadcast only up to BROADCAST_BYTES; beyond that the lines themselves are
-shuffled to the exact table.
+The filters are about 2.2 bytes for each common key, the exact table of common keys 24. Up to BROADCAST_BYTES both are broadcast and a text
+is cleaned where it is read. Beyond that only the filters are, and the lines they let pass are joined with the exact table and brought back
+to their texts by document; with filters beyond it too, all lines are joined.
 """
 
 from __future__ import annotations
@@ -117,6 +118,16 @@ class CuckooFilter:
         return f
 
 
+def ask_filters(filters: dict[int, CuckooFilter], k1: np.ndarray, k2: np.ndarray, shards: int) -> np.ndarray:
+    """Which keys may be common."""
+    maybe, shard = np.zeros(len(k1), dtype=bool), k2 % shards
+    for s in np.unique(shard).tolist():
+        if s in filters:
+            at = np.flatnonzero(shard == s)
+            maybe[at] = filters[s].contains(k1[at].view(np.uint64))
+    return maybe
+
+
 def key_of(line: bytes, min_chars: int) -> bytes | None:
     """16 bytes for a line (UTF-8) of at least min_chars code points when stripped; else None."""
     line = line.strip(_STRIP)
@@ -199,9 +210,7 @@ class LineIndex:
 
     def drops(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, row, lines): for rows with lines to drop, the numbers (from 0) of these lines. row: a hash of the text."""
-        size = self.filters.agg(F.sum(F.length("data")).alias("n")).first().n or 0
-        filters: dict[int, bytes] | None = {r.shard: bytes(r.data) for r in self.filters.collect()} if size <= self.broadcast_bytes else None
-        shared, min_chars, shards = self.spark.sparkContext.broadcast(filters), self.min_chars, self.shards
+        shared, min_chars, shards = self._broadcast_filters(), self.min_chars, self.shards
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = None if shared.value is None else {s: CuckooFilter.frombytes(d) for s, d in shared.value.items()}
@@ -218,10 +227,7 @@ class LineIndex:
                 k1, k2 = _columns(digests)
                 row, number = np.array(row, dtype=np.int64), np.array(number, dtype=np.int32)
                 if sets is not None:
-                    maybe, shard = np.zeros(len(k1), dtype=bool), k2 % shards
-                    for s in np.unique(shard).tolist():
-                        at = np.flatnonzero(shard == s)
-                        maybe[at] = sets[s].contains(k1[at].view(np.uint64)) if s in sets else False
+                    maybe = ask_filters(sets, k1, k2, shards)
                     k1, k2, row, number = k1[maybe], k2[maybe], row[maybe], number[maybe]
                 yield batch({"k1": pa.array(k1), "k2": pa.array(k2), "doc_id": b.column(0).take(pa.array(row)), "row": pa.array(np.array(texts, dtype=np.uint64).view(np.int64)[row]), "line": pa.array(number)})
 
@@ -232,6 +238,61 @@ class LineIndex:
 
     def apply(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with the kept text in its column, and two columns more: n_lines (before dropping) and n_dropped, longs."""
+        size = self.common.count() * 24
+        if size <= self.broadcast_bytes:
+            return self._apply_broadcast(docs, id_col, text_col)
+        return self._apply_joined(docs, id_col, text_col)
+
+    def _broadcast_filters(self):
+        """The filters by shard, or None beyond the bound."""
+        size = self.filters.agg(F.sum(F.length("data")).alias("n")).first().n or 0
+        return self.spark.sparkContext.broadcast({r.shard: bytes(r.data) for r in self.filters.collect()} if size <= self.broadcast_bytes else None)
+
+    def _apply_broadcast(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """One pass over docs; only for a table of common keys of a checked size."""
+        rows = self.common.select("k1", "k2", "keeper").toArrow()
+        order = np.argsort(k1 := rows.column("k1").to_numpy(), kind="stable")
+        keeper = rows.column("keeper")
+        exact = k1[order], rows.column("k2").to_numpy()[order], keeper.fill_null(0).to_numpy()[order], keeper.is_valid().to_numpy()[order]
+        shared, filters, min_chars, shards = self.spark.sparkContext.broadcast(exact), self._broadcast_filters(), self.min_chars, self.shards
+        flat, names = numbered(docs), docs.columns
+        width, spot = len(names), place(docs, text_col)
+        flat = flat.withColumn(f"_c{spot}", F.coalesce(F.col(f"_c{spot}").cast("string"), F.lit(""))).withColumn("_id", F.col(f"_c{place(docs, id_col)}").cast("long"))
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            e1, e2, keep, valid = shared.value
+            sets = {s: CuckooFilter.frombytes(d) for s, d in (filters.value or {}).items()}
+            for b in batches:
+                digests, row, number = [], [], []
+                texts, ids = b.column(spot), b.column(width)
+                for i, text in enumerate(texts.to_pylist()):
+                    for j, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+                        if (k := key_of(line, min_chars)) is not None:
+                            digests.append(k)
+                            row.append(i)
+                            number.append(j)
+                k1, k2 = _columns(digests)
+                some = np.flatnonzero(ask_filters(sets, k1, k2, shards))
+                changed: dict[int, set[int]] = {}
+                first, last = np.searchsorted(e1, k1[some], "left"), np.searchsorted(e1, k1[some], "right")
+                own = ids.to_pylist() if len(some) else []
+                for at, lo, hi in zip(some.tolist(), first.tolist(), last.tolist(), strict=True):
+                    for e in range(lo, hi):
+                        if e2[e] == k2[at] and valid[e] and own[row[at]] != keep[e]:
+                            changed.setdefault(row[at], set()).add(number[at])
+                mask, dropped, kept = np.zeros(b.num_rows, dtype=bool), np.zeros(b.num_rows, dtype=np.int64), []
+                for i in sorted(changed):
+                    gone = changed[i]
+                    mask[i], dropped[i] = True, len(gone)
+                    kept.append("\n".join(x for j, x in enumerate(texts[i].as_py().split("\n")) if j not in gone))
+                cols = [*b.columns[:width], pc.cast(pc.add(pc.count_substring(texts, "\n"), 1), pa.int64()), pa.array(dropped)]
+                cols[spot] = pc.replace_with_mask(texts, pa.array(mask), pa.array(kept, pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*[f"_c{i}" for i in range(width)], "n_lines", "n_dropped"])
+
+        kinds = [f"_c{i} {'string' if i == spot else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
+        return map_arrow(flat, clean, ", ".join([*kinds, "n_lines long", "n_dropped long"])).toDF(*names, "n_lines", "n_dropped")
+
+    def _apply_joined(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         drops = stored(self.drops(docs, id_col=id_col, text_col=text_col), "drops")
         flat, names = numbered(docs), docs.columns
         width, spot = len(names), place(docs, text_col)

@@ -300,8 +300,8 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
     Word shingles of a given similarity differ in about 15 % of a fingerprint's bits, where part thresholds that find every pair would
     have to look at most of the fingerprints. So the fingerprint is 512 bits wide, parts are drawn from it with threshold 0, as many as
     find a pair of just that similarity with chance `recall` (nearer ones oftener), their width follows the number of fingerprints, and
-    candidates are verified on all bits. In a part's bucket, sorted, each fingerprint is held against its `near` successors; the
-    buckets of all parts together link a class of any size without listing its pairs.
+    candidates are verified on all bits. In a part's bucket, in an order of its own, each fingerprint is linked with the nearest
+    (on 64 of the bits) of the `near` before it, so a class of any size costs a row for each member and part, not its pairs.
 
     A null text is empty; blank texts are copies of each other. Rows with a null doc_id are kept; repeated rows share their doc_id's fate.
     """
@@ -337,15 +337,16 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
         tail = [np.empty(0, dtype=np.int64)] * 3
         for b in batches:
             key, node, sig = (np.concatenate([old, b.column(i).to_numpy()]) for i, old in enumerate(tail))
-            fresh, u, v = len(tail[0]), [], []
+            fresh = len(tail[0])
+            at, best, which = np.arange(fresh, len(key)), np.full(len(key) - fresh, first + 1), np.zeros(len(key) - fresh, dtype=np.int64)
             for j in range(1, near + 1):
-                later = np.arange(max(fresh, j), len(key))
-                later = later[key[later] == key[later - j]]
-                later = later[np.bitwise_count((sig[later] ^ sig[later - j]).view(np.uint64)) <= first]
-                u.append(node[later - j])
-                v.append(node[later])
+                other = at - j
+                same = (other >= 0) & (key[other] == key[at])
+                far = np.where(same, np.bitwise_count((sig[at] ^ sig[other]).view(np.uint64)), first + 1)
+                which, best = np.where(far < best, other, which), np.minimum(best, far)
+            hit = best <= first
+            u, v = node[which[hit]], node[at[hit]]
             tail = [x[-near:] for x in (key, node, sig)]
-            u, v = np.concatenate(u), np.concatenate(v)
             yield batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
     rows = map_arrow(distinct.select("fp", "node"), keys, "key long, node long, sig long")
