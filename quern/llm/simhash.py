@@ -112,7 +112,7 @@ def gather(fps: np.ndarray, bits: list[int]) -> np.ndarray:
 
 def within(width: int, radius: int) -> np.ndarray:
     """All masks of a width with at most radius bits."""
-    return np.array([sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)], dtype=np.int64)
+    return np.array([sum(1 << b for b in some) for r in range(radius + 1) for some in combinations(range(width), r)], dtype=np.uint64).view(np.int64)
 
 
 def spread(masks: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -252,7 +252,7 @@ def links(distinct: DataFrame, *, distance: int = 2, parts: int = 3, heavy: int
     edges = index.join(probes, (index.part == probes.part) & (index.key == probes.key) & (index.u != probes.v) & near).select("u", "v")
     if not any_big:
         return edges
-    balls = {r: within(64, r) for r in (distance // 2,)}[distance // 2].view(np.uint64)
+    balls = within(64, distance // 2).view(np.uint64)
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

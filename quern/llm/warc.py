@@ -170,7 +170,7 @@ class WarcReader(DataSourceReader):
         if fs.get_file_info(manifest).type == pafs.FileType.File:
             with fs.open_input_stream(manifest) as f:
                 files = json.loads(f.read())["files"]
-            return [Part(f"{self.path.rstrip('/')}/{x['name']}", a, b) for x in files for a, b in zip(x["places"], [*x["places"][1:], x["size"]], strict=True)]
+            return [Part(f"{self.path.rstrip('/')}/{x['name']}", a, b) for x in files for a, b in zip(x["places"], [*x["places"][1:], x["size"]], strict=True)] or [Part("", 0, 0)]
         found = fs.get_file_info(pafs.FileSelector(inner, recursive=True, allow_not_found=True))
         return [Part(prefix + x.path, 0, -1) for x in found if x.path.endswith((".warc", ".warc.gz"))] or [Part("", 0, 0)]
 
