@@ -25,7 +25,7 @@ from quern.llm.tokens import groups, plain_chunks
 #: A split pattern of public byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,9 +44,6 @@ class TextEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, cache_chunks: int = CACHE_CHUNKS):
         self.pairs, self.pattern = BytePairs.of_ranks(ranks), regex.compile(pattern)
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            self.tokens[i] = token
         self.chunks: Callable[[str], list[str] | None] = plain_chunks if pattern == PATTERN else lambda text: None
         self.pieces = Memo(lambda new: self.pairs.encode([p.encode() for p in new]), cache_chunks)
         self.memo = Memo(self._pieces_of, cache_chunks)
@@ -61,10 +58,27 @@ class TextEncoder:
         odd = iter(self._pieces_of([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(odd) if c is None else next(plain) for c in cut]
 
+
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.tokens[i] = token
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    """One decoder for each Python worker and table; it needs no merges."""
+    if path not in _decoders:
+        _decoders[path] = Decoder(read_ranks(path))
+    return _decoders[path]
+
+
 _loaded: dict[tuple[str, str], TextEncoder] = {}
 
 
@@ -94,9 +108,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded with the column `decoded` (binary), the bytes of its `ids`; null ids decode to null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = text_encoder(ranks_path)
+        dec = decoder(ranks_path)
         for b in batches:
-            got = [None if x is None else enc.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in b.column("ids").to_pylist()]
+            got = [None if x is None else dec.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -38,19 +38,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(1 << 16)]
+        decimal, decode = [str(i) for i in range(1 << 16)], bpe.decoder(path).decode
         for b in batches:
-            sums = []
-            for ids in b.column(2).to_pylist():
-                numbers = np.frombuffer(ids, dtype="<u4").tolist()
+            sums, texts = [], []
+            for ids in b.column(2):
+                numbers = np.frombuffer(ids.as_buffer(), dtype="<u4").tolist()
                 sums.append(hashlib.sha256(",".join(map(decimal.__getitem__, numbers)).encode()).hexdigest())
-            yield batch({"doc_id": b.column(0), "n_tokens": b.column(1), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": b.column(3)})
+                texts.append(hashlib.sha256(decode(numbers)).hexdigest())
+            yield batch({"doc_id": b.column(0), "n_tokens": b.column(1), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
-    rows = decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return map_arrow(rows, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(encoded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
