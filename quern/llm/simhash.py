@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batch, id_text, map_arrow, numbered, place, stored
+from quern.llm.common import batch, cut, id_text, map_arrow, numbered, place, stored
 from quern.llm.components import components
 
 SEED = 42
@@ -283,7 +283,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 2, parts
 # ---- wide fingerprints, for a similarity of shingles ----
 
 WIDE = 8  # 64-bit words
-EXACT_SHARE = 0.16  # of the bits: two texts whose shingles' Jaccard similarity is 0.8 differ in 0.151 of them on average
+SHARE = 0.22  # of the bits: texts of similarity 0.8 differ in 0.151 of them on average; what is within goes on to the exact comparison
+WORDS_OF_FP = [f"f{i}" for i in range(WIDE)]
 
 
 def _tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
@@ -294,76 +295,173 @@ def _tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, ceil(log(1 - recall) / log(1 - agree**bits))
 
 
-def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.95, share: float = EXACT_SHARE, near: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep): keep is false for documents near an earlier one, the least doc_id of each class stays.
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
 
-    Word shingles of a given similarity differ in about 15 % of a fingerprint's bits, where part thresholds that find every pair would
-    have to look at most of the fingerprints. So the fingerprint is 512 bits wide, parts are drawn from it with threshold 0, as many as
-    find a pair of just that similarity with chance `recall` (nearer ones oftener), their width follows the number of fingerprints, and
-    candidates are verified on all bits. In a part's bucket, in an order of its own, each fingerprint is linked with the nearest
-    (on 64 of the bits) of the `near` before it, so a class of any size costs a row for each member and part, not its pairs.
+
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit number of a set of shingles."""
+    return int(np.array([xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
+
+
+def _apart(a: str, b: str) -> F.Column:
+    """Differing bits of the wide fingerprints of two aliased tables."""
+    out = F.lit(0)
+    for f in WORDS_OF_FP:
+        out = out + F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}")))
+    return out
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the lowest 32 bits of the shingle hashes, sorted, of each of nodes (node, doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, out = [], []
+            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = shingle_set(t, words)
+                if set_id(h) == n:  # another row may have the same doc_id
+                    node.append(n)
+                    out.append(np.unique(h.astype(np.uint32)).tobytes())
+            yield batch({"node": pa.array(node, pa.int64()), "hashes": pa.array(out, pa.binary())})
+
+    return stored(map_arrow(docs.join(nodes, "doc_id").select("node", "text"), run, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint32) if len(s.as_buffer()) else np.empty(0, np.uint32) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch({"u": b.column(0).filter(pa.array(ok, pa.bool_())), "v": b.column(1).filter(pa.array(ok, pa.bool_()))})
+
+    left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
+    return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "hv"), run, "u long, v long")
+
+
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose ends aren't in one class yet, with those classes cu and cv."""
+    cu, cv = (classes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "uv")
+    joined = pairs.join(cu, "u", "left").join(cv, "v", "left")
+    return joined.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).filter("cu != cv")
+
+
+def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.95, share: float = SHARE, near: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep): keep is false for documents linked to an earlier one, the least doc_id of each class stays.
+
+    Documents are linked if their sets of word shingles have that Jaccard similarity or more; it is computed, so no other ones are
+    linked. Such texts differ in about 15 % of a fingerprint's bits, where part thresholds that find every pair would have to look at
+    most of the fingerprints. So the fingerprint (of the distinct shingles) is 512 bits wide, and parts are drawn from it with threshold
+    0, as many as find a pair of just that similarity with chance `recall` (nearer ones oftener); their width follows the number of sets.
+
+    Candidates are compared in three steps, so a class of any size costs a few rows for each member and part, not its pairs:
+    each set with its nearest of the `near` before it in a part's bucket, first the best of them, then those of other classes;
+    then, in buckets of three or more that still hold several classes, all sets outside the bucket's largest class against the whole
+    bucket, in blocks. For each set and other class the nearest fingerprint is compared exactly.
 
     A null text is empty; blank texts are copies of each other. Rows with a null doc_id are kept; repeated rows share their doc_id's fate.
     """
-    spark = docs.sparkSession
+    flat = id_text(docs, id_col, text_col).filter("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch({"doc_id": b.column(0), "fp": pa.array([fingerprint(t, words, WIDE) for t in b.column(1).to_pylist()], pa.binary())})
-
-    all_fps = stored(map_arrow(id_text(docs, id_col, text_col).filter("doc_id is not null"), run, "doc_id long, fp binary"), "wide")
-    distinct = stored(all_fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-distinct")
-    n = distinct.count()
-    bits, tables = _tables(n, similarity, recall)
+            node, data = [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_set(t, words)
+                node.append(set_id(h))
+                data.append(np.packbits(bit_sums(h, WIDE) * 2 > len(h)).tobytes())
+            fp = np.frombuffer(b"".join(data), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, WIDE)
+            yield batch({"doc_id": b.column(0), "node": pa.array(node, pa.int64())} | {f: pa.array(fp[:, i]) for i, f in enumerate(WORDS_OF_FP)})
+
+    fp_type = ", ".join(f"{f} long" for f in WORDS_OF_FP)
+    all_fps = stored(map_arrow(flat, run, f"doc_id long, node long, {fp_type}"), "wide")
+    distinct = stored(all_fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in WORDS_OF_FP]), "wide-distinct")
+    bits, tables = _tables(distinct.count(), similarity, recall)
     rng = np.random.default_rng(SEED)
     draws = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
-    first = int(64 * (share * 1.75))  # of the first 64 bits, a cheap filter before all are compared
+    first, most = int(64 * share * 1.6), int(64 * WIDE * share)  # the first of 64 bits, a cheap filter before all are compared
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(bits, dtype=np.int64))
+        weights = 1 << np.arange(bits, dtype=np.int64)
         salt = (np.arange(tables, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 some = b.slice(k, 1024)
-                raw = np.frombuffer(b"".join(some.column(0).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WIDE)
-                on = np.unpackbits(raw, axis=1).astype(np.int64)
+                fp = np.stack([some.column(1 + i).to_numpy() for i in range(WIDE)], axis=1)
+                on = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1).astype(np.int64)
                 key = np.stack([on[:, d] @ weights for d in draws], axis=1).view(np.uint64)
                 key = (key + salt) * np.uint64(0xBF58476D1CE4E5B9)
                 key ^= key >> np.uint64(31)
-                sig = np.ascontiguousarray(raw[:, :8]).view(">u8").astype(np.int64).ravel()
-                yield batch({"key": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(some.column(1).to_numpy(), tables)), "sig": pa.array(np.repeat(sig, tables))})
+                yield batch({"key": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(some.column(0).to_numpy(), tables)), "sig": pa.array(np.repeat(fp[:, 0], tables))})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (u, v, no key) of neighbours; members (u, no v, key) of buckets of three or more."""
         tail = [np.empty(0, dtype=np.int64)] * 3
         for b in batches:
             key, node, sig = (np.concatenate([old, b.column(i).to_numpy()]) for i, old in enumerate(tail))
             fresh = len(tail[0])
             at, best, which = np.arange(fresh, len(key)), np.full(len(key) - fresh, first + 1), np.zeros(len(key) - fresh, dtype=np.int64)
+
+            def same(j: int, at=at, key=key) -> np.ndarray:
+                return (at >= j) & (key[at - j] == key[at])
+
             for j in range(1, near + 1):
-                other = at - j
-                same = (other >= 0) & (key[other] == key[at])
-                far = np.where(same, np.bitwise_count((sig[at] ^ sig[other]).view(np.uint64)), first + 1)
-                which, best = np.where(far < best, other, which), np.minimum(best, far)
+                far = np.where(same(j), np.bitwise_count((sig[at] ^ sig[at - j]).view(np.uint64)), first + 1)
+                which, best = np.where(far < best, at - j, which), np.minimum(best, far)
             hit = best <= first
             u, v = node[which[hit]], node[at[hit]]
-            tail = [x[-near:] for x in (key, node, sig)]
-            yield batch({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
-
-    rows = map_arrow(distinct.select("fp", "node"), keys, "key long, node long, sig long")
+            third = at[same(2) & ~same(3)]
+            members = np.concatenate([third - 2, third - 1, at[same(2)]])
+            tail = [x[-max(near, 3) :] for x in (key, node, sig)]
+            none = [None]
+            yield batch(
+                {
+                    "u": pa.array(np.concatenate([np.minimum(u, v), node[members]])),
+                    "v": pa.concat_arrays([pa.array(np.maximum(u, v)), pa.array(none * len(members), pa.int64())]),
+                    "key": pa.concat_arrays([pa.array(none * len(u), pa.int64()), pa.array(key[members])]),
+                }
+            )
+
+    rows = map_arrow(distinct.select("node", *WORDS_OF_FP), keys, "key long, node long, sig long")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
-    pairs = map_arrow(sorted_rows, compare, "u long, v long").distinct()
-    halves = distinct.select(F.col("node").alias("u"), F.col("fp").alias("fu")), distinct.select(F.col("node").alias("v"), F.col("fp").alias("fv"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = int(64 * WIDE * share)
-        for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WIDE) for i in (2, 3))
-            ok = pa.array(np.bitwise_count(a ^ c).sum(axis=1) <= most)
-            yield batch({"u": b.column(0).filter(ok), "v": b.column(1).filter(ok)})
-
-    edges = map_arrow(pairs.join(halves[0], "u").join(halves[1], "v").select("u", "v", "fu", "fv"), verify, "u long, v long")
-    classes = components(edges).select("node", F.col("component"))
-    return all_fps.join(distinct, "fp").join(classes, "node", "left").select("doc_id", (F.col("doc_id") == F.coalesce("component", "node")).alias("keep")).distinct()
+    compared = stored(map_arrow(sorted_rows, compare, "u long, v long, key long"), "compared")
+    fp = distinct.select("node", *WORDS_OF_FP)
+    pairs = compared.filter("v is not null").select("u", "v").distinct()
+    found = pairs.join(fp.alias("a"), F.col("u") == F.col("a.node")).join(fp.alias("b"), F.col("v") == F.col("b.node"))
+    pairs = stored(found.select("u", "v", _apart("a", "b").alias("apart")).filter(F.col("apart") <= most), "pairs")
+    members = compared.filter("v is null").select("key", F.col("u").alias("node"))
+    needed = pairs.select("u").union(pairs.select("v")).union(members.select("node")).toDF("node").distinct()
+    sets = _sets(flat, distinct.select("node", "doc_id").join(needed, "node"), words)
+
+    nearest = pairs.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
+    edges = cut(_alike(nearest.select("u", "v"), sets, similarity))
+    classes = components(edges)
+    edges = cut(edges.unionByName(_alike(_between(pairs, classes).select("u", "v"), sets, similarity)))
+    classes = stored(components(edges), "classes")
+
+    held = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    mixed = stored(held.join(mixed.select("key", "n", "largest"), "key").join(fp, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "mixed")
+    all_of = mixed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("a")
+    others = mixed.filter("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+    met = all_of.join(others, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (_apart("a", "b") <= most))
+    met = met.groupBy(F.col("b.node").alias("v"), F.col("a.component").alias("c")).agg(F.min_by(F.col("a.node"), F.struct(_apart("a", "b"), F.col("a.node"))).alias("u"))
+    tried = pairs.select("u", "v")
+    rest = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    more = cut(_alike(rest, sets, similarity))
+    if more.take(1):
+        classes = components(edges.unionByName(more))
+    linked = stored(distinct.select("node", "doc_id").join(classes, "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_node = distinct.select("node", "doc_id").join(linked.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))
+    return all_fps.select("doc_id", "node").join(of_node, "node").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("least")).alias("keep"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

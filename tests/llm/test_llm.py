@@ -302,3 +302,24 @@ def test_pipeline(spark):
     want = {r.doc_id: zlib.crc32(np.array([*i, 0], "<u4").tobytes()) for r, i in zip(rows, ids, strict=True) if len(i) < 500}
     got = {r.doc_id: r.ids_crc32 for r in out.filter("length = doc_tokens").collect()}
     assert got and all(want[d] == c for d, c in got.items() if d in want)
+
+
+def test_near_copies_keep_the_classes_of_brute_force(spark):
+    """Against all pairs' Jaccard similarity: nothing below 0.8 is dropped; of what is to be dropped at most a twentieth stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: frozenset(simhash.shingle_set(r.text or "", 5).tolist()) for r in docs.collect()}
+    least = {i: i for i in words}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    ids = sorted(words)
+    for i in ids:
+        for j in ids:
+            if j < i and min(len(words[i]), len(words[j])) >= 0.8 * max(len(words[i]), len(words[j])) and (both := len(words[i] & words[j])) >= 0.8 * (len(words[i]) + len(words[j]) - both) and (a := find(i)) != (b := find(j)):
+                least[max(a, b)] = min(a, b)
+    wanted = {i for i in ids if find(i) != i}
+    dropped = {r.doc_id for r in simhash.near_copies(docs).collect() if not r.keep}
+    assert dropped <= wanted and len(wanted - dropped) <= 0.05 * len(wanted)
