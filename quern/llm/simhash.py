@@ -20,7 +20,7 @@ from math import ceil, log, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import batch, cut, id_text, map_arrow, numbered, place, stored
@@ -352,6 +352,13 @@ def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).filter("cu != cv")
 
 
+def _nearest(pairs: DataFrame, take: int) -> DataFrame:
+    """Of pairs (u, v, cu, cv, apart) the `take` nearest for each node and other class; a pair is in it if either end chooses it."""
+    ends = pairs.select("u", "v", "apart", F.col("u").alias("node"), F.col("cv").alias("other")).unionByName(pairs.select("u", "v", "apart", F.col("v").alias("node"), F.col("cu").alias("other")))
+    rank = F.row_number().over(Window.partitionBy("node", "other").orderBy("apart", "u", "v"))
+    return ends.withColumn("rank", rank).filter(F.col("rank") <= take).select("u", "v", "apart").distinct()
+
+
 def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.95, share: float = SHARE, near: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep): keep is false for documents linked to an earlier one, the least doc_id of each class stays.
 
@@ -363,7 +370,8 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
     Candidates are compared in three steps, so a class of any size costs a few rows for each member and part, not its pairs:
     each set with its nearest of the `near` before it in a part's bucket, first the best of them, then those of other classes;
     then, in buckets of three or more that still hold several classes, all sets outside the bucket's largest class against the whole
-    bucket, in blocks. For each set and other class the nearest fingerprint is compared exactly.
+    bucket, in blocks. Of the pairs met there, for each set and other class the nearest are compared exactly, in rounds of 1, 8, 64, ...
+    pairs, until each is linked, within one class, or refuted.
 
     A null text is empty; blank texts are copies of each other. Rows with a null doc_id are kept; repeated rows share their doc_id's fate.
     """
@@ -445,19 +453,28 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
     edges = cut(edges.unionByName(_alike(_between(pairs, classes).select("u", "v"), sets, similarity)))
     classes = stored(components(edges), "classes")
 
-    held = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = stored(held.join(mixed.select("key", "n", "largest"), "key").join(fp, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "mixed")
-    all_of = mixed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("a")
-    others = mixed.filter("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
-    met = all_of.join(others, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (_apart("a", "b") <= most))
-    met = met.groupBy(F.col("b.node").alias("v"), F.col("a.component").alias("c")).agg(F.min_by(F.col("a.node"), F.struct(_apart("a", "b"), F.col("a.node"))).alias("u"))
-    tried = pairs.select("u", "v")
-    rest = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = cut(_alike(rest, sets, similarity))
-    if more.take(1):
-        classes = components(edges.unionByName(more))
+    def met(classes: DataFrame, tried: DataFrame) -> DataFrame:
+        """(u, v, apart), once each and none of tried: pairs of different classes within `most` bits that share a bucket."""
+        held = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        mixed = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        mixed = stored(held.join(mixed.select("key", "n", "largest"), "key").join(fp, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "mixed")
+        all_of = mixed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("a")
+        others = mixed.filter("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+        both = all_of.join(others, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (_apart("a", "b") <= most))
+        found = both.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), _apart("a", "b").alias("apart"))
+        return found.distinct().join(tried, ["u", "v"], "left_anti")
+
+    # every pair met ends linked, within one class, or refuted; each round takes more of the nearest, so few rounds are needed
+    waiting, take = stored(met(classes, pairs.select("u", "v")), "waiting"), 1
+    while waiting.take(1):
+        chosen = stored(_nearest(_between(waiting, classes), take).select("u", "v"), "chosen")
+        more = cut(_alike(chosen, sets, similarity))
+        if more.take(1):
+            edges = cut(edges.unionByName(more))
+            classes = stored(components(edges), "classes")
+        waiting = stored(_between(waiting.join(chosen, ["u", "v"], "left_anti"), classes).select("u", "v", "apart"), "waiting")
+        take *= 8
     linked = stored(distinct.select("node", "doc_id").join(classes, "node"), "linked")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_node = distinct.select("node", "doc_id").join(linked.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))

@@ -323,3 +323,19 @@ def test_near_copies_keep_the_classes_of_brute_force(spark):
     wanted = {i for i in ids if find(i) != i}
     dropped = {r.doc_id for r in simhash.near_copies(docs).collect() if not r.keep}
     assert dropped <= wanted and len(wanted - dropped) <= 0.05 * len(wanted)
+
+
+def test_near_copies_try_every_member_of_a_class(spark):
+    """Each last text has one member of a class of 41 at 0.818, all others of it at 0.778."""
+    rng, rows = np.random.default_rng(1), []
+    for family in range(6):
+        words = [f"f{family}w{i}" for i in range(404)]
+        places = rng.permutation(np.arange(4, 400, 6)).tolist()
+        for i in range(42):
+            changed = places[:8] if i == 41 else [] if i == 20 else rng.choice(places[8:], 2, replace=False)
+            text = words.copy()
+            for p in changed:
+                text[p] = f"f{family}n{i}p{p}"
+            rows.append((family * 100 + i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.near_copies(docs, recall=0.99999).collect() if r.keep} == {family * 100 for family in range(6)}
