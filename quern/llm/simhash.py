@@ -14,8 +14,9 @@ and its rows grow in proportion to the fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
-from math import ceil, log, log2
+from math import ceil, comb, lgamma, log2
 
 import numpy as np
 import pyarrow as pa
@@ -283,16 +284,64 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 2, parts
 # ---- wide fingerprints, for a similarity of shingles ----
 
 WIDE = 8  # 64-bit words
-SHARE = 0.22  # of the bits: texts of similarity 0.8 differ in 0.151 of them on average; what is within goes on to the exact comparison
+BITS = 64 * WIDE
+SMALL = 64  # shingles: pairs with a set up to this size are found by their shingles, not by fingerprints
+MISS = 1e-6  # the share of pairs of just the wanted similarity that the limit on differing bits may lose
+FIRST = 22  # differing bits of the first 64, a cheap filter before all are compared
 WORDS_OF_FP = [f"f{i}" for i in range(WIDE)]
 
 
+@lru_cache(maxsize=None)
+def _tail(n: int) -> np.ndarray:
+    """[k]: the chance that k or more of n shingles have a bit, k = 0 ... n + 1."""
+    return np.append(np.cumsum(np.array([comb(n, k) / 2**n for k in range(n, -1, -1)]))[::-1], 0)
+
+
+def _differ(common: int, left: int, right: int) -> float:
+    """The chance that a bit differs for two sets that share so many shingles and have so many of their own."""
+    both = np.arange(common + 1)
+    a, b = (_tail(own)[np.clip((common + own) // 2 + 1 - both, 0, own + 1)] for own in (left, right))
+    return float(-np.diff(_tail(common)) @ (a * (1 - b) + b * (1 - a)))
+
+
+@lru_cache(maxsize=None)
+def _worst(n: int, similarity: float) -> float:
+    """The largest such chance for a set of n shingles and one no larger of that similarity or more."""
+    share = similarity / (1 + similarity)
+    least = {m: ceil(share * (n + m) - 1e-9) for m in range(1, n + 1)}
+    return max((_differ(c, m - c, n - c) for m, c in least.items() if c <= m), default=0.0)
+
+
+def _distances(differ: float) -> np.ndarray:
+    """[d]: the chance that d of a fingerprint's bits differ."""
+    d, p = np.arange(BITS + 1), min(max(differ, 1e-12), 1 - 1e-12)
+    ways = np.array([lgamma(BITS + 1) - lgamma(k + 1) - lgamma(BITS - k + 1) for k in d])
+    return np.exp(ways + d * np.log(p) + (BITS - d) * np.log1p(-p))
+
+
+def _limits(similarity: float) -> list[int]:
+    """[n]: how many bits may differ for a larger set of n shingles (the last: for all from 2 * SMALL on), so that a share MISS is lost."""
+    worst = [_worst(n, similarity) for n in range(2 * SMALL)]
+    return [int(np.searchsorted(np.cumsum(_distances(w)), 1 - MISS)) for w in [*worst, max(worst[SMALL + 1 :])]]
+
+
 def _tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits of a part, and how many parts, so that a pair of that similarity agrees in some part with that chance."""
-    cosine = 2 * similarity / (1 + similarity)
-    agree = 1 - np.arccos(cosine) / np.pi
+    """Bits of a part, and how many parts, so that a pair of that similarity, both sets over SMALL, becomes a candidate with that chance.
+
+    The parts are drawn from the same bits, so the chance is averaged over the distances that such a pair may have, up to the limit.
+    """
     bits = int(min(40, max(12, round(log2(max(n, 2))) + 4)))
-    return bits, ceil(log(1 - recall) / log(1 - agree**bits))
+    differ = max(_worst(k, similarity) for k in range(SMALL + 1, 2 * SMALL))
+    d = np.arange(max(_limits(similarity)[SMALL + 1 :]) + 1)
+    share = _distances(differ)[: len(d)]
+    agree = np.prod([np.maximum(BITS - d - i, 0) / (BITS - i) for i in range(bits)], axis=0)
+    low, high = 0, 1
+    while share @ (1 - (1 - agree) ** high) < min(recall, 1 - 2 * MISS) and high < 1 << 20:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if share @ (1 - (1 - agree) ** mid) >= min(recall, 1 - 2 * MISS) else (mid, high)
+    return bits, high
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -359,13 +408,16 @@ def _nearest(pairs: DataFrame, take: int) -> DataFrame:
     return ends.withColumn("rank", rank).filter(F.col("rank") <= take).select("u", "v", "apart").distinct()
 
 
-def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.95, share: float = SHARE, near: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.95, near: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep): keep is false for documents linked to an earlier one, the least doc_id of each class stays.
 
     Documents are linked if their sets of word shingles have that Jaccard similarity or more; it is computed, so no other ones are
     linked. Such texts differ in about 15 % of a fingerprint's bits, where part thresholds that find every pair would have to look at
     most of the fingerprints. So the fingerprint (of the distinct shingles) is 512 bits wide, and parts are drawn from it with threshold
-    0, as many as find a pair of just that similarity with chance `recall` (nearer ones oftener); their width follows the number of sets.
+    0, as many as find a pair of just that similarity with chance `recall` (nearer ones oftener) at any number of sets, which their width
+    follows. Fingerprints of few shingles differ more, so pairs with a set of SMALL or fewer are found by prefix filtering instead: in
+    an order of all shingles, rare ones first, two such sets share one of the first n - similarity * n + 1 of each. It finds them all.
+    Of either kind, pairs that differ in more bits than a share MISS of pairs of that similarity and size do are not compared.
 
     Candidates are compared in three steps, so a class of any size costs a few rows for each member and part, not its pairs:
     each set with its nearest of the `near` before it in a part's bucket, first the best of them, then those of other classes;
@@ -376,24 +428,27 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
     A null text is empty; blank texts are copies of each other. Rows with a null doc_id are kept; repeated rows share their doc_id's fate.
     """
     flat = id_text(docs, id_col, text_col).filter("doc_id is not null")
+    limits = _limits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, data = [], []
+            node, data, size = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_set(t, words)
                 node.append(set_id(h))
+                size.append(len(h))
                 data.append(np.packbits(bit_sums(h, WIDE) * 2 > len(h)).tobytes())
             fp = np.frombuffer(b"".join(data), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, WIDE)
-            yield batch({"doc_id": b.column(0), "node": pa.array(node, pa.int64())} | {f: pa.array(fp[:, i]) for i, f in enumerate(WORDS_OF_FP)})
+            most = [limits[min(n, len(limits) - 1)] for n in size]
+            yield batch({"doc_id": b.column(0), "node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "most": pa.array(most, pa.int32())} | {f: pa.array(fp[:, i]) for i, f in enumerate(WORDS_OF_FP)})
 
     fp_type = ", ".join(f"{f} long" for f in WORDS_OF_FP)
-    all_fps = stored(map_arrow(flat, run, f"doc_id long, node long, {fp_type}"), "wide")
-    distinct = stored(all_fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in WORDS_OF_FP]), "wide-distinct")
-    bits, tables = _tables(distinct.count(), similarity, recall)
+    all_fps = stored(map_arrow(flat, run, f"doc_id long, node long, size int, most int, {fp_type}"), "wide")
+    distinct = stored(all_fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in ["size", "most", *WORDS_OF_FP]]), "wide-distinct")
+    large = distinct.filter(F.col("size") > SMALL)
+    bits, tables = _tables(large.count(), similarity, recall)
     rng = np.random.default_rng(SEED)
-    draws = np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)])
-    first, most = int(64 * share * 1.6), int(64 * WIDE * share)  # the first of 64 bits, a cheap filter before all are compared
+    draws = np.stack([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -405,24 +460,31 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
                 on = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1).astype(np.int64)
                 key = np.stack([on[:, d] @ weights for d in draws], axis=1).view(np.uint64)
                 key = (key + salt) * np.uint64(0xBF58476D1CE4E5B9)
-                key ^= key >> np.uint64(31)
+                key = (key ^ (key >> np.uint64(31))) & ~np.uint64(1)  # even; those of shingles are odd
                 yield batch({"key": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(some.column(0).to_numpy(), tables)), "sig": pa.array(np.repeat(fp[:, 0], tables))})
 
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [len(h.as_buffer()) // 4 for h in b.column(1)]
+            lead = [n - ceil(similarity * n - 1e-9) + 1 for n in sizes]
+            token = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(h.as_buffer(), dtype=np.uint32) for h in b.column(1)]]).astype(np.int64)
+            yield batch({"token": pa.array(token), "node": pa.array(np.repeat(b.column(0).to_numpy(), sizes)), "lead": pa.array(np.repeat(lead, sizes).astype(np.int32))})
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (u, v, no key) of neighbours; members (u, no v, key) of buckets of three or more."""
         tail = [np.empty(0, dtype=np.int64)] * 3
         for b in batches:
             key, node, sig = (np.concatenate([old, b.column(i).to_numpy()]) for i, old in enumerate(tail))
             fresh = len(tail[0])
-            at, best, which = np.arange(fresh, len(key)), np.full(len(key) - fresh, first + 1), np.zeros(len(key) - fresh, dtype=np.int64)
+            at, best, which = np.arange(fresh, len(key)), np.full(len(key) - fresh, 65), np.zeros(len(key) - fresh, dtype=np.int64)
 
             def same(j: int, at=at, key=key) -> np.ndarray:
                 return (at >= j) & (key[at - j] == key[at])
 
             for j in range(1, near + 1):
-                far = np.where(same(j), np.bitwise_count((sig[at] ^ sig[at - j]).view(np.uint64)), first + 1)
+                far = np.where(same(j), np.bitwise_count((sig[at] ^ sig[at - j]).view(np.uint64)), 65)
                 which, best = np.where(far < best, at - j, which), np.minimum(best, far)
-            hit = best <= first
+            hit = best <= np.where(key[at] & 1, 64, FIRST)
             u, v = node[which[hit]], node[at[hit]]
             third = at[same(2) & ~same(3)]
             members = np.concatenate([third - 2, third - 1, at[same(2)]])
@@ -436,13 +498,18 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, rec
                 }
             )
 
-    rows = map_arrow(distinct.select("node", *WORDS_OF_FP), keys, "key long, node long, sig long")
+    rows = map_arrow(large.select("node", *WORDS_OF_FP), keys, "key long, node long, sig long")
+    small = distinct.filter(F.col("size").between(1, ceil(SMALL / similarity)))
+    shingles = map_arrow(_sets(flat, small.select("node", "doc_id"), words), tokens, "token long, node long, lead int")
+    ranked = shingles.join(shingles.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "token")))
+    shared = ranked.filter("rank <= lead and n > 1").select(F.xxhash64("token").bitwiseOR(F.lit(1)).alias("key"), "node")
+    rows = rows.unionByName(shared.join(small.select("node", F.col(WORDS_OF_FP[0]).alias("sig")), "node").select("key", "node", "sig"))
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
     compared = stored(map_arrow(sorted_rows, compare, "u long, v long, key long"), "compared")
-    fp = distinct.select("node", *WORDS_OF_FP)
+    fp, most = distinct.select("node", "most", *WORDS_OF_FP), F.greatest("a.most", "b.most")
     pairs = compared.filter("v is not null").select("u", "v").distinct()
     found = pairs.join(fp.alias("a"), F.col("u") == F.col("a.node")).join(fp.alias("b"), F.col("v") == F.col("b.node"))
-    pairs = stored(found.select("u", "v", _apart("a", "b").alias("apart")).filter(F.col("apart") <= most), "pairs")
+    pairs = stored(found.select("u", "v", _apart("a", "b").alias("apart"), most.alias("most")).filter("apart <= most").drop("most"), "pairs")
     members = compared.filter("v is null").select("key", F.col("u").alias("node"))
     needed = pairs.select("u").union(pairs.select("v")).union(members.select("node")).toDF("node").distinct()
     sets = _sets(flat, distinct.select("node", "doc_id").join(needed, "node"), words)

@@ -339,3 +339,19 @@ def test_near_copies_try_every_member_of_a_class(spark):
             rows.append((family * 100 + i, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in simhash.near_copies(docs, recall=0.99999).collect() if r.keep} == {family * 100 for family in range(6)}
+
+
+@pytest.mark.parametrize("n", [1_000, 10_000, 40_000, 10_000_000])
+def test_near_copies_candidates_at_any_table_size(n):
+    """Pairs of similarity 0.8 and 450 shingles each differ in a bit with chance 0.151; at most 117 bits may differ."""
+    bits, tables = simhash._tables(n, 0.8, 0.95)
+    apart = np.random.default_rng(2).binomial(512, 0.151, 200_000)
+    agree = np.prod([(512 - apart - i) / (512 - i) for i in range(bits)], axis=0)
+    assert ((1 - (1 - agree) ** tables) * (apart <= 117)).mean() >= 0.95
+
+
+def test_near_copies_of_short_texts(spark):
+    """4 of 5 shingles in common: a text and the same with one more word; all are found."""
+    rows = [(2 * i + j, " ".join(f"t{i}w{k}" for k in range(8 + j))) for i in range(300) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.near_copies(docs).collect() if not r.keep} == {2 * i + 1 for i in range(300)}
