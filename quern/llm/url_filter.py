@@ -210,6 +210,5 @@ def labelled_by_rules(pages: DataFrame, rules: list[Rule], *, rows: int = SAMPLE
             found = [(u, r.verdict == "block") for u in b.column(0).to_pylist() if u is not None and (r := table.find(*split_url(u)))]
             yield batch({"url": pa.array([u for u, _ in found], pa.string()), "label": pa.array([int(v) for _, v in found], pa.int32())})
 
-    got = map_arrow(pick(pages, url=(url_col, "string")), run, "url string, label int").orderBy(F.xxhash64("url"), "url").limit(rows).collect()
-    unique = dict.fromkeys((r.url, r.label) for r in got)
-    return [u for u, _ in unique], [v for _, v in unique]
+    got = map_arrow(pick(pages, url=(url_col, "string")), run, "url string, label int").distinct().orderBy(F.xxhash64("url"), "url").limit(rows).collect()
+    return [r.url for r in got], [r.label for r in got]

@@ -355,3 +355,10 @@ def test_near_copies_of_short_texts(spark):
     rows = [(2 * i + j, " ".join(f"t{i}w{k}" for k in range(8 + j))) for i in range(300) for j in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in simhash.near_copies(docs).collect() if not r.keep} == {2 * i + 1 for i in range(300)}
+
+
+def test_url_sample_holds_distinct_urls(spark):
+    """Each URL 30 times: a sample of 40 holds 40 different ones."""
+    rows = [(f"http://example.{'com/en' if i % 2 else 'net/de'}/{i}",) for i in range(100)] * 30
+    urls, labels = url_filter.labelled_by_rules(spark.createDataFrame(rows, "url string").repartition(3), URL_RULES, rows=40)
+    assert len(urls) == len(labels) == len(set(urls)) == 40
