@@ -14,17 +14,16 @@ and its rows grow in proportion to the fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
-from math import ceil, comb, lgamma, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batch, cut, id_text, map_arrow, numbered, place, stored
+from quern.llm import setjoin
+from quern.llm.common import batch, id_text, map_arrow, numbered, place, stored
 from quern.llm.components import components
 
 SEED = 42
@@ -48,25 +47,19 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((h(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)), dtype=np.uint64, count=n)
 
 
-def bit_sums(hashes: np.ndarray, wide: int = 1) -> np.ndarray:
-    """How many hashes have each bit, most significant first. wide: so many 64-bit hashes, by mixing, of each."""
-    out = np.zeros(64 * wide, dtype=np.int64)
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit, most significant first."""
+    out = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 4096):
-        h = hashes[k : k + 4096]
-        if wide > 1:
-            h = h[:, None] + np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(31))
-        bits = np.unpackbits(np.ascontiguousarray(h).astype(">u8").view(np.uint8)).reshape(-1, 64 * wide)
+        bits = np.unpackbits(hashes[k : k + 4096].astype(">u8").view(np.uint8)).reshape(-1, 64)
         out += bits.sum(axis=0, dtype=np.int64)
     return out
 
 
-def fingerprint(text: str, words: int = 3, wide: int = 1) -> bytes:
-    """8 * wide bytes: a bit is 1 if set in over half the hashes; without words all are 0."""
+def fingerprint(text: str, words: int = 3) -> bytes:
+    """8 bytes: a bit is 1 if set in over half the hashes; without words all are 0."""
     h = shingle_hashes(text, words)
-    return np.packbits(bit_sums(h, wide) * 2 > len(h)).tobytes()
+    return np.packbits(bit_sums(h) * 2 > len(h)).tobytes()
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,271 +274,40 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 2, parts
     return all_fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- wide fingerprints, for a similarity of shingles ----
+# ---- a similarity of shingles ----
 
-WIDE = 8  # 64-bit words
-BITS = 64 * WIDE
-SMALL = 64  # shingles: pairs with a set up to this size are found by their shingles, not by fingerprints
-MISS = 1e-6  # the share of pairs of just the wanted similarity that the limit on differing bits may lose
-FIRST = 22  # differing bits of the first 64, a cheap filter before all are compared
-WORDS_OF_FP = [f"f{i}" for i in range(WIDE)]
 
+def _close(distinct: DataFrame, distance: int) -> DataFrame:
+    """(u, v): nodes of equal fingerprints, each with the least of them, and those least ones of fingerprints within the distance."""
+    of_fp = distinct.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    equal = distinct.join(of_fp.filter("n > 1").select("fp", F.col("node").alias("u")), "fp").filter("node != u").select("u", F.col("node").alias("v"))
+    of_fp = stored(of_fp.select("fp", "node"), "of-fingerprint")
+    left, right = (of_fp.select(F.col("fp").alias(f"f{k}"), F.col("node").alias(k)) for k in "uv")
+    near = links(of_fp.select("fp"), distance=distance).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
+    near = near.join(left, "fu").join(right, "fv").select("u", "v")
+    return equal.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-@lru_cache(maxsize=None)
-def _tail(n: int) -> np.ndarray:
-    """[k]: the chance that k or more of n shingles have a bit, k = 0 ... n + 1."""
-    return np.append(np.cumsum(np.array([comb(n, k) / 2**n for k in range(n, -1, -1)]))[::-1], 0)
 
-
-def _differ(common: int, left: int, right: int) -> float:
-    """The chance that a bit differs for two sets that share so many shingles and have so many of their own."""
-    both = np.arange(common + 1)
-    a, b = (_tail(own)[np.clip((common + own) // 2 + 1 - both, 0, own + 1)] for own in (left, right))
-    return float(-np.diff(_tail(common)) @ (a * (1 - b) + b * (1 - a)))
-
-
-@lru_cache(maxsize=None)
-def _worst(n: int, similarity: float) -> float:
-    """The largest such chance for a set of n shingles and one no larger of that similarity or more."""
-    share = similarity / (1 + similarity)
-    least = {m: ceil(share * (n + m) - 1e-9) for m in range(1, n + 1)}
-    return max((_differ(c, m - c, n - c) for m, c in least.items() if c <= m), default=0.0)
-
-
-def _distances(differ: float) -> np.ndarray:
-    """[d]: the chance that d of a fingerprint's bits differ."""
-    d, p = np.arange(BITS + 1), min(max(differ, 1e-12), 1 - 1e-12)
-    ways = np.array([lgamma(BITS + 1) - lgamma(k + 1) - lgamma(BITS - k + 1) for k in d])
-    return np.exp(ways + d * np.log(p) + (BITS - d) * np.log1p(-p))
-
-
-def _limits(similarity: float) -> list[int]:
-    """[n]: how many bits may differ for a larger set of n shingles (the last: for all from 2 * SMALL on), so that a share MISS is lost."""
-    worst = [_worst(n, similarity) for n in range(2 * SMALL)]
-    return [int(np.searchsorted(np.cumsum(_distances(w)), 1 - MISS)) for w in [*worst, max(worst[SMALL + 1 :])]]
-
-
-def _tables(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits of a part, and how many parts, so that a pair of that similarity, both sets over SMALL, becomes a candidate with that chance.
-
-    The parts are drawn from the same bits, so the chance is averaged over the distances that such a pair may have, up to the limit.
-    """
-    bits = int(min(40, max(12, round(log2(max(n, 2))) + 4)))
-    differ = max(_worst(k, similarity) for k in range(SMALL + 1, 2 * SMALL))
-    d = np.arange(max(_limits(similarity)[SMALL + 1 :]) + 1)
-    share = _distances(differ)[: len(d)]
-    agree = np.prod([np.maximum(BITS - d - i, 0) / (BITS - i) for i in range(bits)], axis=0)
-    low, high = 0, 1
-    while share @ (1 - (1 - agree) ** high) < min(recall, 1 - 2 * MISS) and high < 1 << 20:
-        low, high = high, 2 * high
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if share @ (1 - (1 - agree) ** mid) >= min(recall, 1 - 2 * MISS) else (mid, high)
-    return bits, high
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(shingle_hashes(text, words))
-
-
-def set_id(hashes: np.ndarray) -> int:
-    """A signed 64-bit number of a set of shingles."""
-    return int(np.array([xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
-
-
-def _apart(a: str, b: str) -> F.Column:
-    """Differing bits of the wide fingerprints of two aliased tables."""
-    out = F.lit(0)
-    for f in WORDS_OF_FP:
-        out = out + F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}")))
-    return out
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes): the lowest 32 bits of the shingle hashes, sorted, of each of nodes (node, doc_id)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, out = [], []
-            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingle_set(t, words)
-                if set_id(h) == n:  # another row may have the same doc_id
-                    node.append(n)
-                    out.append(np.unique(h.astype(np.uint32)).tobytes())
-            yield batch({"node": pa.array(node, pa.int64()), "hashes": pa.array(out, pa.binary())})
-
-    return stored(map_arrow(docs.join(nodes, "doc_id").select("node", "text"), run, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have that Jaccard similarity or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint32) if len(s.as_buffer()) else np.empty(0, np.uint32) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch({"u": b.column(0).filter(pa.array(ok, pa.bool_())), "v": b.column(1).filter(pa.array(ok, pa.bool_()))})
-
-    left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
-    return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "hv"), run, "u long, v long")
-
-
-def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose ends aren't in one class yet, with those classes cu and cv."""
-    cu, cv = (classes.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "uv")
-    joined = pairs.join(cu, "u", "left").join(cv, "v", "left")
-    return joined.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).filter("cu != cv")
-
-
-def _nearest(pairs: DataFrame, take: int) -> DataFrame:
-    """Of pairs (u, v, cu, cv, apart) the `take` nearest for each node and other class; a pair is in it if either end chooses it."""
-    ends = pairs.select("u", "v", "apart", F.col("u").alias("node"), F.col("cv").alias("other")).unionByName(pairs.select("u", "v", "apart", F.col("v").alias("node"), F.col("cu").alias("other")))
-    rank = F.row_number().over(Window.partitionBy("node", "other").orderBy("apart", "u", "v"))
-    return ends.withColumn("rank", rank).filter(F.col("rank") <= take).select("u", "v", "apart").distinct()
-
-
-def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.95, near: int = 8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, keep): keep is false for documents linked to an earlier one, the least doc_id of each class stays.
 
     Documents are linked if their sets of word shingles have that Jaccard similarity or more; it is computed, so no other ones are
-    linked. Such texts differ in about 15 % of a fingerprint's bits, where part thresholds that find every pair would have to look at
-    most of the fingerprints. So the fingerprint (of the distinct shingles) is 512 bits wide, and parts are drawn from it with threshold
-    0, as many as find a pair of just that similarity with chance `recall` (nearer ones oftener) at any number of sets, which their width
-    follows. Fingerprints of few shingles differ more, so pairs with a set of SMALL or fewer are found by prefix filtering instead: in
-    an order of all shingles, rare ones first, two such sets share one of the first n - similarity * n + 1 of each. It finds them all.
-    Of either kind, pairs that differ in more bits than a share MISS of pairs of that similarity and size do are not compared.
-
-    Candidates are compared in three steps, so a class of any size costs a few rows for each member and part, not its pairs:
-    each set with its nearest of the `near` before it in a part's bucket, first the best of them, then those of other classes;
-    then, in buckets of three or more that still hold several classes, all sets outside the bucket's largest class against the whole
-    bucket, in blocks. Of the pairs met there, for each set and other class the nearest are compared exactly, in rounds of 1, 8, 64, ...
-    pairs, until each is linked, within one class, or refuted.
-
-    A null text is empty; blank texts are copies of each other. Rows with a null doc_id are kept; repeated rows share their doc_id's fate.
+    linked, and all such links count. Fingerprints within `distance` bits, found as above, give the first pairs to compare. Pairs of
+    just 0.8 differ in about 10 of 64 bits, too many for thresholds of parts that find them all, so the rest is found by their shingles
+    (setjoin), which is exact.
+
+    A null text is empty; blank texts are copies of each other. Rows with a null doc_id are kept; repeated rows share their doc_id's
+    fate; other columns are ignored; an empty table gives an empty one. Of equal texts the least doc_id stays.
     """
     flat = id_text(docs, id_col, text_col).filter("doc_id is not null")
-    limits = _limits(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, data, size = [], [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_set(t, words)
-                node.append(set_id(h))
-                size.append(len(h))
-                data.append(np.packbits(bit_sums(h, WIDE) * 2 > len(h)).tobytes())
-            fp = np.frombuffer(b"".join(data), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, WIDE)
-            most = [limits[min(n, len(limits) - 1)] for n in size]
-            yield batch({"doc_id": b.column(0), "node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "most": pa.array(most, pa.int32())} | {f: pa.array(fp[:, i]) for i, f in enumerate(WORDS_OF_FP)})
-
-    fp_type = ", ".join(f"{f} long" for f in WORDS_OF_FP)
-    all_fps = stored(map_arrow(flat, run, f"doc_id long, node long, size int, most int, {fp_type}"), "wide")
-    distinct = stored(all_fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in ["size", "most", *WORDS_OF_FP]]), "wide-distinct")
-    large = distinct.filter(F.col("size") > SMALL)
-    bits, tables = _tables(large.count(), similarity, recall)
-    rng = np.random.default_rng(SEED)
-    draws = np.stack([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        salt = (np.arange(tables, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                some = b.slice(k, 1024)
-                fp = np.stack([some.column(1 + i).to_numpy() for i in range(WIDE)], axis=1)
-                on = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1).astype(np.int64)
-                key = np.stack([on[:, d] @ weights for d in draws], axis=1).view(np.uint64)
-                key = (key + salt) * np.uint64(0xBF58476D1CE4E5B9)
-                key = (key ^ (key >> np.uint64(31))) & ~np.uint64(1)  # even; those of shingles are odd
-                yield batch({"key": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(some.column(0).to_numpy(), tables)), "sig": pa.array(np.repeat(fp[:, 0], tables))})
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = [len(h.as_buffer()) // 4 for h in b.column(1)]
-            lead = [n - ceil(similarity * n - 1e-9) + 1 for n in sizes]
-            token = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(h.as_buffer(), dtype=np.uint32) for h in b.column(1)]]).astype(np.int64)
-            yield batch({"token": pa.array(token), "node": pa.array(np.repeat(b.column(0).to_numpy(), sizes)), "lead": pa.array(np.repeat(lead, sizes).astype(np.int32))})
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (u, v, no key) of neighbours; members (u, no v, key) of buckets of three or more."""
-        tail = [np.empty(0, dtype=np.int64)] * 3
-        for b in batches:
-            key, node, sig = (np.concatenate([old, b.column(i).to_numpy()]) for i, old in enumerate(tail))
-            fresh = len(tail[0])
-            at, best, which = np.arange(fresh, len(key)), np.full(len(key) - fresh, 65), np.zeros(len(key) - fresh, dtype=np.int64)
-
-            def same(j: int, at=at, key=key) -> np.ndarray:
-                return (at >= j) & (key[at - j] == key[at])
-
-            for j in range(1, near + 1):
-                far = np.where(same(j), np.bitwise_count((sig[at] ^ sig[at - j]).view(np.uint64)), 65)
-                which, best = np.where(far < best, at - j, which), np.minimum(best, far)
-            hit = best <= np.where(key[at] & 1, 64, FIRST)
-            u, v = node[which[hit]], node[at[hit]]
-            third = at[same(2) & ~same(3)]
-            members = np.concatenate([third - 2, third - 1, at[same(2)]])
-            tail = [x[-max(near, 3) :] for x in (key, node, sig)]
-            none = [None]
-            yield batch(
-                {
-                    "u": pa.array(np.concatenate([np.minimum(u, v), node[members]])),
-                    "v": pa.concat_arrays([pa.array(np.maximum(u, v)), pa.array(none * len(members), pa.int64())]),
-                    "key": pa.concat_arrays([pa.array(none * len(u), pa.int64()), pa.array(key[members])]),
-                }
-            )
-
-    rows = map_arrow(large.select("node", *WORDS_OF_FP), keys, "key long, node long, sig long")
-    small = distinct.filter(F.col("size").between(1, ceil(SMALL / similarity)))
-    shingles = map_arrow(_sets(flat, small.select("node", "doc_id"), words), tokens, "token long, node long, lead int")
-    ranked = shingles.join(shingles.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "token")))
-    shared = ranked.filter("rank <= lead and n > 1").select(F.xxhash64("token").bitwiseOR(F.lit(1)).alias("key"), "node")
-    rows = rows.unionByName(shared.join(small.select("node", F.col(WORDS_OF_FP[0]).alias("sig")), "node").select("key", "node", "sig"))
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
-    compared = stored(map_arrow(sorted_rows, compare, "u long, v long, key long"), "compared")
-    fp, most = distinct.select("node", "most", *WORDS_OF_FP), F.greatest("a.most", "b.most")
-    pairs = compared.filter("v is not null").select("u", "v").distinct()
-    found = pairs.join(fp.alias("a"), F.col("u") == F.col("a.node")).join(fp.alias("b"), F.col("v") == F.col("b.node"))
-    pairs = stored(found.select("u", "v", _apart("a", "b").alias("apart"), most.alias("most")).filter("apart <= most").drop("most"), "pairs")
-    members = compared.filter("v is null").select("key", F.col("u").alias("node"))
-    needed = pairs.select("u").union(pairs.select("v")).union(members.select("node")).toDF("node").distinct()
-    sets = _sets(flat, distinct.select("node", "doc_id").join(needed, "node"), words)
-
-    nearest = pairs.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
-    edges = cut(_alike(nearest.select("u", "v"), sets, similarity))
-    classes = components(edges)
-    edges = cut(edges.unionByName(_alike(_between(pairs, classes).select("u", "v"), sets, similarity)))
-    classes = stored(components(edges), "classes")
-
-    def met(classes: DataFrame, tried: DataFrame) -> DataFrame:
-        """(u, v, apart), once each and none of tried: pairs of different classes within `most` bits that share a bucket."""
-        held = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        counts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        mixed = stored(held.join(mixed.select("key", "n", "largest"), "key").join(fp, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "mixed")
-        all_of = mixed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("a")
-        others = mixed.filter("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
-        both = all_of.join(others, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (_apart("a", "b") <= most))
-        found = both.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), _apart("a", "b").alias("apart"))
-        return found.distinct().join(tried, ["u", "v"], "left_anti")
-
-    # every pair met ends linked, within one class, or refuted; each round takes more of the nearest, so few rounds are needed
-    waiting, take = stored(met(classes, pairs.select("u", "v")), "waiting"), 1
-    while waiting.take(1):
-        chosen = stored(_nearest(_between(waiting, classes), take).select("u", "v"), "chosen")
-        more = cut(_alike(chosen, sets, similarity))
-        if more.take(1):
-            edges = cut(edges.unionByName(more))
-            classes = stored(components(edges), "classes")
-        waiting = stored(_between(waiting.join(chosen, ["u", "v"], "left_anti"), classes).select("u", "v", "apart"), "waiting")
-        take *= 8
+    each = stored(setjoin.described(flat, words), "described")
+    distinct = stored(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp")), "described-distinct")
+    hints = stored(_close(distinct, distance), "close")
+    classes = setjoin.classes(flat, distinct, hints, words=words, similarity=similarity, **options)
     linked = stored(distinct.select("node", "doc_id").join(classes, "node"), "linked")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_node = distinct.select("node", "doc_id").join(linked.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))
-    return all_fps.select("doc_id", "node").join(of_node, "node").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("least")).alias("keep"))
+    return each.select("doc_id", "node").join(of_node, "node").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("least")).alias("keep"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
