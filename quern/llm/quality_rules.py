@@ -82,7 +82,8 @@ def measured(docs: DataFrame, text: str) -> DataFrame:
         "q_v_lines": _vote(c("q_n_dup_lines") > 0.3 * F.greatest(c("q_n_lines"), F.lit(1)), c("q_n_dup_lines") == 0),
         "q_v_repeats": _vote(c("q_n_repeat_words") > 0.3 * words, c("q_n_repeat_words") <= 0.05 * words),
         "q_v_upper": _vote(upper > 0.3, upper < 0.12),
-        "q_v_unique": _vote((unique < 0.25) & (n < 10000), unique > 0.45),
+        # New words get fewer as a text goes on, so the bound falls with its length.
+        "q_v_unique": _vote(c("q_n_unique") < F.least(0.25 * words, 8 * F.sqrt(words)), unique > 0.45),
         "q_v_ends": _vote((ends > 0.6) | (n >= 60) & (ends < 0.01), (ends >= 0.02) & (ends <= 0.3)),
     }
     failed = (n < 20) | (100 * c("q_n_repeat_words") > 30 * n)
@@ -171,9 +172,14 @@ def judge(docs: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", te
 
 
 def keep(docs: DataFrame, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns. Measures are computed twice rather than texts shuffled or written."""
+    """The rows of docs that are kept, with their columns.
+
+    A null or empty text has no words and is rejected; equal texts share their fate; an empty table stays empty. Rows are written to the
+    shared folder with their votes, so that texts are measured once; of those that the base rules reject only the votes, for the fit.
+    """
     flat = numbered(docs)
-    text = f"_c{place(docs, text_col)}"
-    model = fit(measured(flat.select(text), text))
-    rows = measured(flat, text).filter((F.col("q_row") >= 0) & ~F.col("q_base_failed") & (model.posterior() >= threshold))
-    return rows.select(*flat.columns).toDF(*docs.columns)
+    rows, failed = measured(flat, f"_c{place(docs, text_col)}"), F.col("q_base_failed")
+    votes = [f"q_v_{r}" for r in RULES]
+    rows = stored(rows.select(*[F.when(~failed, F.col(c)).alias(c) for c in flat.columns], *votes, "q_base_failed"), "rules")
+    model = fit(rows)
+    return rows.filter(~failed & (model.posterior() >= threshold)).select(*flat.columns).toDF(*docs.columns)
