@@ -6,8 +6,8 @@ The library's own speed on text with many rare words is about 2 MB/s a core. Two
 * pre-tokens without white space and ends of words: chunks cut at white space, their pieces by the vocabulary's split pattern, merged by
   tiktoken with a table that holds the ends, with bounded caches.
 
-Texts with characters outside PLAIN (where libraries' Unicode versions may differ), odd separators, and all other vocabularies
-go through the tokenizers library itself.
+Texts with characters outside PLAIN (where libraries' Unicode versions may differ), odd separators, or the string of an added token (which
+has its own id), and all other vocabularies go through the tokenizers library itself, with its defaults.
 """
 
 from __future__ import annotations
@@ -65,16 +65,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class JsonTokenizer:
-    """encode(texts): little-endian ids of self.dtype, without special tokens; special tokens' strings are ordinary text."""
+    """encode(texts): little-endian ids of self.dtype; no special tokens are added, those whose strings a text holds are found."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.cache_chunks = cache_chunks
-        self.fast = self._byte_level(spec := json.loads(self.library.to_str())) or self._word_ends(spec)
+        spec = json.loads(self.library.to_str())
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None  # some are looked for in normalised text
+        self.fast = self._byte_level(spec) or self._word_ends(spec)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -83,7 +85,7 @@ class JsonTokenizer:
         """A few hundred texts at most in a call."""
         if self.fast is None:
             return [self.whole(t) for t in texts]
-        plain = list(map(is_plain, texts))
+        plain = [is_plain(t) and not (self.added and self.added.search(t)) for t in texts]
         got = iter(self.fast([t for t, p in zip(texts, plain, strict=True) if p]))
         return [next(got) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
