@@ -1,7 +1,8 @@
 """Operator 5: token ids in files of canonical, length-limited Huffman codes.
 
 Write: texts are encoded and their ids kept in a table in the shared folder; ids are counted over all of it; package-merge gives code
-lengths of at most MAX_BITS; documents, range-partitioned and sorted by id, go to one file a partition. A file is
+lengths of at most MAX_BITS; documents, range-partitioned and sorted by id (then as they came), go to one file a partition, of about FILE_IDS
+ids or, with few, one for each shuffle partition. A file is
 
     8 bytes magic, 4 bytes header length, JSON header (code lengths, compressed), blocks
 
@@ -38,6 +39,7 @@ MAGIC = b"QHUFFID1"
 MAX_BITS = 16
 BLOCK = 1 << 16
 STEP = 64
+FILE_IDS = 1 << 25  # about so many ids in a file
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -180,8 +182,9 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int | None
     spark = docs.sparkSession
     tok = tokenizer(tokenizer_path)
     width, size = tok.dtype.itemsize, tok.library.get_vocab_size(with_added_tokens=True)
-    encoded = stored(encode_partitions(id_text(docs, id_col, text_col), tokenizer_path, end_id).select("doc_id", "ids"), "ids")
-    lengths = code_lengths(count_ids(encoded, width, max(size, (end_id or 0) + 1)))
+    encoded = stored(encode_partitions(id_text(docs, id_col, text_col), tokenizer_path, end_id).select("doc_id", "ids", "part", "part_start"), "ids")
+    counts = count_ids(encoded, width, max(size, (end_id or 0) + 1))
+    lengths = code_lengths(counts)
     header = json.dumps({"version": 1, "max_bits": MAX_BITS, "step": STEP, "end_id": end_id, "lengths": base64.b64encode(zlib.compress(lengths.tobytes())).decode()}).encode()
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths), header))
 
@@ -220,8 +223,9 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int | None
             f.close()
             yield batch({"part": pa.array([part], pa.int32()), "file": pa.array([file]), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // FILE_IDS))
+    order = F.col("doc_id").asc_nulls_first(), "part", "part_start"  # rows of one id, or of none, needn't meet in one task
+    ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = sorted(map_arrow(ordered, run, "part int, file string, n_docs long, n_ids long").collect())  # a row for each file
     out, start = [], 0
     for r in rows:
