@@ -9,6 +9,7 @@ The manifest, written at commit, lists the committed files and places between re
 Read: partitions are runs of about SPLIT_BYTES between such places (a file without manifest is one). Equality and IN filters on
 record_type, target_uri, record_id, refers_to, payload_digest and content_type are pushed down. For each record its headers are parsed
 first; a record that a filter rejects is skipped by its member's length without decoding it, in foreign files by reading over it.
+Foreign files may be plain, or gzip with any number of records a member.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 #: Columns that come from one header each (fixed values of the WARC format, and one of our own for the full payload's length).
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type", "payload_bytes": "X-Payload-Length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAX_HEADERS = 1 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -94,54 +94,61 @@ class Wrote(WriterCommitMessage):
     files: list
 
 
-class _Window:
-    """Bytes of a file from a place on, decoded lazily: plain, or the gzip member that starts there."""
+class _Stream:
+    """Bytes of a file from a place on, decoded as they are asked for: plain, one gzip member, or (whole) all members from there on."""
 
-    def __init__(self, f, at: int, packed: bool):
-        self.f, self.packed, self.begin = f, packed, at
+    def __init__(self, f, at: int, packed: bool, whole: bool):
+        self.f, self.whole = f, whole
         f.seek(at)
         self.coder = zlib.decompressobj(31) if packed else None
-        self.data, self.raw = b"", b""
-        self.read_raw, self.over = 0, False
+        self.data, self.over = b"", False
 
     def more(self) -> bool:
+        """Whether there was more to read."""
         if self.over:
             return False
-        chunk = self.f.read(1 << 16)
-        if not chunk:
+        raw = b""
+        if self.coder is not None and self.coder.eof:  # the next member
+            raw = self.coder.unused_data
+            self.coder = zlib.decompressobj(31)
+        raw = raw or self.f.read(1 << 16)
+        if not raw:
             self.over = True
             return False
-        self.read_raw += len(chunk)
-        if self.coder is None:
-            self.data += chunk
-            return True
-        self.data += self.coder.decompress(chunk)
-        if self.coder.eof:
+        self.data += raw if self.coder is None else self.coder.decompress(raw)
+        if self.coder is not None and self.coder.eof and not self.whole:
             self.over = True
         return True
 
-    def upto(self, mark: bytes) -> int:
-        while (i := self.data.find(mark)) < 0:
-            if len(self.data) > MAX_HEADERS or not self.more():
-                return -1
-        return i
+    def lead(self) -> bool:
+        """Drop empty lines; whether anything follows."""
+        while True:
+            self.data = self.data.lstrip(b"\r\n")
+            if self.data or not self.more():
+                return bool(self.data)
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What stands before the mark, taken together with it."""
+        seen = 0
+        while (i := self.data.find(mark, seen)) < 0:
+            seen = max(0, len(self.data) - len(mark) + 1)
+            if not self.more():
+                return None
+        out, self.data = self.data[:i], self.data[i + len(mark) :]
+        return out
 
-    def take(self, start: int, n: int) -> bytes:
-        parts, held = [self.data[start : start + n]], max(0, len(self.data) - start)
-        while held < n:
-            self.data = b""
+    def take(self, n: int, keep: bool = True) -> bytes:
+        """The next n bytes; without keep they are only passed."""
+        parts, left = [], n
+        while True:
+            some, self.data = self.data[:left], self.data[left:]
+            left -= len(some)
+            if keep:
+                parts.append(some)
+            if not left:
+                return b"".join(parts)
             if not self.more():
                 raise ValueError("a record ends early")
-            parts.append(self.data[: n - held])
-            held += len(self.data)
-        return b"".join(parts)
-
-    def end(self) -> int:
-        """Where the next member begins; reads over the rest of this one."""
-        while not self.over:
-            self.data = b""
-            self.more()
-        return self.begin + self.read_raw - len(self.coder.unused_data)
 
 
 class WarcReader(DataSourceReader):
@@ -194,22 +201,26 @@ class WarcReader(DataSourceReader):
             while at < end:
                 f.seek(at)
                 head = f.read(24)
-                packed, length = head[:2] == b"\x1f\x8b", member_length(head)
-                w = _Window(f, at, packed)
-                i = w.upto(b"\r\n\r\n")
-                lead = len(w.data) - len(w.data.lstrip(b"\r\n"))
-                if lead and not packed:
-                    at += lead
-                    continue
-                if i < 0:
-                    if not w.data.strip():
-                        return
-                    raise ValueError(f"{part.file}: no record at byte {at}")
-                headers = self._headers(w.data[:i])
-                size = int(headers.get("content-length", "0"))
-                if self._fits(headers):
-                    yield self._row(headers, w.take(i + 4, size) if self.payload or self.verify else None)
-                at = at + i + 4 + size + 4 if not packed else at + length if length else w.end()
+                length = member_length(head)
+                stream = _Stream(f, at, head[:2] == b"\x1f\x8b", whole=length is None)
+                yield from self._records(stream, part.file, 1 if length else None)
+                at = at + length if length else end  # a stream without lengths goes to the file's end
+
+    def _records(self, stream: _Stream, file: str, most: int | None) -> Iterator[tuple]:
+        while most != 0 and stream.lead():
+            lines = stream.upto(b"\r\n\r\n")
+            if lines is None:
+                raise ValueError(f"{file}: a record's headers don't end")
+            headers = self._headers(lines)
+            size = int(headers.get("content-length", "0"))
+            if self._fits(headers):
+                content = stream.take(size) if self.payload or self.verify else None
+                yield self._row(headers, content)
+                if content is None and most != 1:
+                    stream.take(size, keep=False)
+            elif most != 1:
+                stream.take(size, keep=False)
+            most = None if most is None else most - 1
 
     @staticmethod
     def _headers(data: bytes) -> dict[str, str]:
