@@ -23,7 +23,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 TYPE_SIZES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 16: (8, "Q")}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-MAX_PAGES = 65_536
+#: How many bytes one byte of a compression may become, at most: a bound on what a header may ask for.
+SWELLS = {PLAIN: 1, PACKBITS: 64, DEFLATE: 1040, OLD_DEFLATE: 1040, LZW: 4096}
 
 ROW = 576  # bytes of a text in a row of samples
 STRIP_ROWS = 113  # about 64 KB
@@ -180,7 +181,7 @@ class Tiff:
         seen: set[int] = set()
         (at,) = struct.unpack_from(self.order + "I", self.data, 4)
         while at:
-            if at in seen or len(seen) >= MAX_PAGES:
+            if at in seen:
                 raise ValueError("image directories form a loop")
             seen.add(at)
             (n,) = struct.unpack_from(self.order + "H", self.data, at)
@@ -200,19 +201,30 @@ class Tiff:
         one = lambda tag, default=None: tags[tag][0] if tag in tags else default
         width, height, samples, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
         bits = tags.get(BITS, (1,))
-        if width is None or height is None or len(set(bits)) != 1 or bits[0] not in (8, 16):
+        if len(set(bits)) != 1 or bits[0] not in (8, 16):
             raise ValueError("only 8 or 16 bits a sample are supported")
+        if not width or not height or not samples or planar not in (1, 2):
+            raise ValueError("a page without width, height or samples, or of unknown planes")
         how, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
+        if how not in SWELLS:
+            raise ValueError(f"compression {how} is not supported")
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} is not supported")
         kind = np.dtype(np.uint8) if bits[0] == 8 else np.dtype(self.order + "u2")
         if TILE_OFFSETS in tags:
-            tw, th, offsets, sizes = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags[TILE_BYTES]
+            tw, th, offsets, sizes = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags.get(TILE_BYTES, ())
         else:
             tw, th, offsets, sizes = width, min(one(ROWS_PER_STRIP, height), height) or 1, tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ())
+        if not tw or not th:
+            raise ValueError("tiles without width or height")
         per = samples if planar == 1 else 1
-        out = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
         across, down = -(-width // tw), -(-height // th)
         if len(offsets) < across * down * (samples // per) or len(sizes) < len(offsets):
             raise ValueError("strips or tiles are missing")
+        # Before memory is taken: the header can't ask for more than the stored bytes can become.
+        if width * height * samples * kind.itemsize > SWELLS[how] * sum(min(n, len(self.data)) for n in sizes):
+            raise ValueError("strips or tiles are too short for the page")
+        out = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
         for k in range(across * down * (samples // per)):
             plane, cell = divmod(k, across * down)
             y, x = cell // across * th, cell % across * tw
@@ -224,8 +236,6 @@ class Tiff:
             block = np.frombuffer(raw, dtype=kind, count=size // kind.itemsize).reshape(rows, tw, per)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=out.dtype)
-            elif predictor != 1:
-                raise ValueError(f"predictor {predictor} is not supported")
             h, w = min(rows, height - y), min(tw, width - x)
             if per == samples:
                 out[y : y + h, x : x + w] = block[:h, :w]
@@ -293,7 +303,8 @@ def feature(pixels: np.ndarray) -> str:
 def encode_texts(docs: DataFrame, *, compression: int = DEFLATE, predictor: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up with 255 to a positive multiple of ROW, as a page ROW wide.
 
-    A null text is empty. A row for each row; other columns are ignored.
+    A null or empty text is one row of 255s. A row for each row, also for null or repeated ids; an empty table gives an empty one; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +320,16 @@ def encode_texts(docs: DataFrame, *, compression: int = DEFLATE, predictor: int
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_bytes long, media binary")
 
 
+FAULTS = (ValueError, struct.error, zlib.error, LookupError, ArithmeticError, MemoryError, TypeError)
 PAGE = "doc_id long, page int, width long, height long, samples int, bits int, pixels binary, feature string, media_bytes long, error string"
 
 
 def pages(table: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", carry: list[str] | None = None) -> DataFrame:
     """PAGE's columns, then those named in carry, a row for each page (numbered from 0); pixels: samples row by row, little-endian.
 
-    Media that is null, not a TIFF, or broken gives a row with null page and the reason in `error`; pages before the fault are given.
+    Media that is null, not a TIFF, or whose directories are broken gives a row with null page and the reason in `error`, after the pages
+    before the fault. A page that can't be decoded has its number and the reason; those after it follow. An empty table gives an empty
+    one; repeated rows are read each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,14 +341,21 @@ def pages(table: DataFrame, *, id_col: str = "doc_id", media_col: str = "media",
                 try:
                     if media is None:
                         raise ValueError("no media")
-                    for k, p in enumerate(Tiff(media).pages()):
+                    tiff = Tiff(media)
+                    for k, tags in enumerate(tiff.directories()):
+                        try:
+                            p = tiff.page(tags)
+                        except FAULTS as e:
+                            rows.append((doc, k, *[None] * 6, len(media), str(e) or type(e).__name__))
+                            at.append(i)
+                            continue
                         rows.append((doc, k, p.width, p.height, p.samples, p.bits, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), feature(p.pixels), len(media), None))
                         at.append(i)
                         held += p.pixels.nbytes
                         if held > 16 << 20:
                             yield table_of(rows, b, at)
                             rows, at, held = [], [], 0
-                except (ValueError, struct.error, zlib.error, KeyError, IndexError) as e:
+                except FAULTS as e:
                     rows.append((doc, *[None] * 7, None if media is None else len(media), str(e) or type(e).__name__))
                     at.append(i)
             if rows:
