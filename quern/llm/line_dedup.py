@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import batch, id_text, map_arrow, numbered, place, stored
 
 BROADCAST_BYTES = 64 << 20
-SHARDS = 64
+SHARDS = 64  # at first; doubled while a shard would hold more than SHARD_KEYS
+SHARD_KEYS = 1 << 18
+HOT = 1 << 16  # keys with this part of all references or more, HOT at most, are joined by broadcast
 SLOTS = 4
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -172,12 +174,18 @@ class LineIndex:
     def insert(self, docs: DataFrame, *, keep_references: bool = True, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents. Without keep_references the references are counted only and no later change is possible."""
         new = references(docs, min_chars=self.min_chars, id_col=id_col, text_col=text_col)
+        self._changeable()
         if keep_references:
             return self._turn(stored(self.refs.unionByName(new), "refs"))
         return self._turn(new, keep=False)
 
+    def _changeable(self) -> None:
+        if self.refs is None:
+            raise ValueError("this index was made without references and can't be changed")
+
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take away the documents of a table with one column of ids; what they made common is so no more."""
+        self._changeable()
         gone = doc_ids.toDF("doc_id").select(F.col("doc_id").cast("long")).distinct()
         return self._turn(stored(self.refs.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "refs"))
 
@@ -185,6 +193,11 @@ class LineIndex:
         """The exact table of common keys for these references; filters get what has changed."""
         before, had_filters = self.common, self.filters
         common = stored(refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= self.min_docs), "common")
+        shards, n = self.shards, common.count()
+        while n > self.shards * SHARD_KEYS:
+            self.shards *= 2
+        if self.shards != shards:  # all filters are built anew
+            before, had_filters = before.limit(0), had_filters.limit(0)
         shard = F.pmod(F.col("k2"), F.lit(self.shards)).cast("int").alias("shard")
         added = common.join(before, ["k1", "k2"], "left_anti").select(shard, "k1", F.lit(1).alias("sign"))
         removed = before.join(common, ["k1", "k2"], "left_anti").select(shard, "k1", F.lit(-1).alias("sign"))
@@ -204,22 +217,19 @@ class LineIndex:
         keys = added.unionByName(removed).unionByName(still).select("shard", "k1", F.col("sign").cast("long").alias("sign"))
         self.filters = stored(had_filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(change, "shard int, data binary"), "filters")
         self.common = common
-        if keep:
-            self.refs = refs
+        self.refs = refs if keep else None
         return self
 
     def drops(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, row, lines): for rows with lines to drop, the numbers (from 0) of these lines. row: a hash of the text."""
+        """(doc_id, row, lines): for rows with lines to drop, the numbers (from 0) of these lines. row: Spark's xxhash64 of the text."""
         shared, min_chars, shards = self._broadcast_filters(), self.min_chars, self.shards
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = None if shared.value is None else {s: CuckooFilter.frombytes(d) for s, d in shared.value.items()}
             for b in batches:
-                digests, row, number, texts = [], [], [], []
+                digests, row, number = [], [], []
                 for i, text in enumerate(b.column(1).to_pylist()):
-                    data = text.encode("utf-8", "surrogatepass")
-                    texts.append(xxhash.xxh3_64_intdigest(data))
-                    for j, line in enumerate(data.split(b"\n")):
+                    for j, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
                         if (k := key_of(line, min_chars)) is not None:
                             digests.append(k)
                             row.append(i)
@@ -229,15 +239,24 @@ class LineIndex:
                 if sets is not None:
                     maybe = ask_filters(sets, k1, k2, shards)
                     k1, k2, row, number = k1[maybe], k2[maybe], row[maybe], number[maybe]
-                yield batch({"k1": pa.array(k1), "k2": pa.array(k2), "doc_id": b.column(0).take(pa.array(row)), "row": pa.array(np.array(texts, dtype=np.uint64).view(np.int64)[row]), "line": pa.array(number)})
+                yield batch({"k1": pa.array(k1), "k2": pa.array(k2), "doc_id": b.column(0).take(pa.array(row)), "row": b.column(2).take(pa.array(row)), "line": pa.array(number)})
 
-        asked = map_arrow(id_text(docs, id_col, text_col), ask, "k1 long, k2 long, doc_id long, row long, line int")
+        asked = stored(map_arrow(id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text")), ask, "k1 long, k2 long, doc_id long, row long, line int"), "asked")
+        total = self.common.agg(F.sum("n_docs").alias("n")).first().n or 0
+        hot = self.common.filter(F.col("n_docs") * HOT >= total)
+        rest = asked.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti").join(self.common, ["k1", "k2"])
+        found = asked.join(F.broadcast(hot), ["k1", "k2"]).unionByName(rest)
         # A null doc_id is never the largest, so such rows lose the line where any other holds it.
-        hit = asked.join(self.common, ["k1", "k2"]).filter(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        hit = found.filter(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return hit.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
 
     def apply(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs with the kept text in its column, and two columns more: n_lines (before dropping) and n_dropped, longs."""
+        """docs with the kept text in its column, and two columns more: n_lines (before dropping) and n_dropped, longs.
+
+        Columns of docs that have one of these two names are left out.
+        """
+        if others := [i for i, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_dropped")]:
+            docs = numbered(docs).select(*[f"_c{i}" for i in others]).toDF(*[docs.columns[i] for i in others])
         size = self.common.count() * 24
         if size <= self.broadcast_bytes:
             return self._apply_broadcast(docs, id_col, text_col)
@@ -297,35 +316,33 @@ class LineIndex:
         flat, names = numbered(docs), docs.columns
         width, spot = len(names), place(docs, text_col)
         key, text = F.col(f"_c{place(docs, id_col)}").cast("long"), F.coalesce(F.col(f"_c{spot}").cast("string"), F.lit(""))
-        per_id = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("row").alias("rows"), F.collect_list("lines").alias("lines"))
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts, rows, lines = b.column(spot), b.column(width), b.column(width + 1)
+                texts, lines = b.column(spot), b.column(width)
                 changed, dropped = [], np.zeros(b.num_rows, dtype=np.int64)
-                for i in np.flatnonzero(rows.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    text, hashes = texts[i].as_py(), rows[i].as_py()
-                    own = int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64))
-                    if own in hashes:
-                        gone = set(lines[i].as_py()[hashes.index(own)])
-                        changed.append("\n".join(x for j, x in enumerate(text.split("\n")) if j not in gone))
-                        dropped[i] = len(gone)
-                kept = pc.replace_with_mask(texts, pa.array(dropped > 0), pa.array(changed, pa.string()))
+                for i in np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    gone = set(lines[i].as_py())
+                    changed.append("\n".join(x for j, x in enumerate(texts[i].as_py().split("\n")) if j not in gone))
+                    dropped[i] = len(gone)
                 cols = [*b.columns[:width], pc.cast(pc.add(pc.count_substring(texts, "\n"), 1), pa.int64()), pa.array(dropped)]
-                cols[spot] = kept
+                cols[spot] = pc.replace_with_mask(texts, pa.array(dropped > 0), pa.array(changed, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*[f"_c{i}" for i in range(width)], "n_lines", "n_dropped"])
 
-        joined = flat.withColumn(f"_c{spot}", text).join(per_id, key.eqNullSafe(F.col("_id")), "left").select(*flat.columns, "rows", "lines")
+        marked = drops.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "lines")
+        flat = flat.withColumn(f"_c{spot}", text)
+        joined = flat.join(marked, key.eqNullSafe(F.col("_id")) & (F.xxhash64(f"_c{spot}") == F.col("_row")), "left").select(*flat.columns, "lines")
         kinds = [f"_c{i} {'string' if i == spot else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
         return map_arrow(joined, clean, ", ".join([*kinds, "n_lines long", "n_dropped long"])).toDF(*names, "n_lines", "n_dropped")
 
 
 def dedup(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with their kept texts, n_lines and n_dropped: one turn of an index, without keeping its references.
+    """docs with their kept texts, n_lines and n_dropped: one turn of a new index, its table of references included.
 
     Keys of at least min_chars code points in at least min_docs documents lose all their lines but those of the largest doc_id that holds
     them. A null or empty text is one empty line; the lines that stay are joined by newlines. Rows that repeat a doc_id are documents
-    each, and all of them keep the lines of the largest doc_id. An empty table stays empty; other columns are returned as they are.
+    each, and all of them keep the lines of the largest doc_id. An empty table stays empty; other columns are returned as they are,
+    but for ones named n_lines or n_dropped, which are left out.
     """
-    index = LineIndex(docs.sparkSession, min_docs, min_chars, **options).insert(docs, keep_references=False, id_col=id_col, text_col=text_col)
+    index = LineIndex(docs.sparkSession, min_docs, min_chars, **options).insert(docs, id_col=id_col, text_col=text_col)
     return index.apply(docs, id_col=id_col, text_col=text_col)
