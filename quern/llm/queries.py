@@ -81,7 +81,7 @@ URL_RULES = [
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     urls, labels = url_filter.labelled_by_rules(pages, URL_RULES)
-    return url_filter.judge(pages, URL_RULES, url_filter.train(urls, labels))
+    return url_filter.judge(pages, URL_RULES, url_filter.train(urls, labels, url_filter.suffix_shares(pages)))
 
 
 QUALITY_THRESHOLD = 0.3

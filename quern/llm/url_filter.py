@@ -1,7 +1,8 @@
 """Operator 7: URL filter: explicit rules first, else gradient-boosted trees on lexical features.
 
-The trees are of squared-gradient steps on the logistic loss, grown level by level on histograms of at most BINS values a feature, in
-numpy on the driver, from a bounded sample of labelled URLs (the rows of least hash). Scoring runs on the executors.
+The trees are of squared-gradient steps on the logistic loss, classes weighted alike, grown level by level on histograms of at most BINS
+values a feature, in numpy on the driver, from a bounded sample of distinct labelled URLs (those of least hash). Shares of host suffixes
+are counted over all URLs. Scoring runs on the executors.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batch, map_arrow, pick
+from quern.llm.common import batch, lower_ascii, map_arrow, pick
 
 SAMPLE_ROWS = 20_000
+LEAST_SHARE = 1e-5  # suffixes of a smaller share of all URLs count as share 0; so 100 000 are known at most
 BINS = 32
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HOST = re.compile(r"[^/?#]*")
@@ -130,22 +132,27 @@ class Boosted:
         return 1 / (1 + np.exp(-z))
 
 
-def train(urls: list[str | None], labels: list[int], *, trees: int = 60, depth: int = 3, rate: float = 0.15, l2: float = 1.0, bins: int = BINS) -> Boosted:
-    """Fit to labelled URLs (1: block). Without rows, or with one class only, the score is that class's smoothed share."""
+def train(urls: list[str | None], labels: list[int], suffixes: dict[str, float] | None = None, *, trees: int = 60, depth: int = 3, rate: float = 0.15, l2: float = 1.0, bins: int = BINS) -> Boosted:
+    """Fit to labelled URLs (1: block). Without rows, or with one class only, the score is that class's smoothed share.
+
+    suffixes: see suffix_shares; without them the shares among these URLs are taken. Each class has half the weight.
+    """
     y = np.asarray(labels, dtype=float)
-    counts = Counter(split_url(u)[0].rpartition(".")[2] for u in urls)
-    model = Boosted(rate=rate, suffixes={k: v / len(urls) for k, v in counts.most_common(1000)})
+    if suffixes is None:
+        suffixes = {k: v / len(urls) for k, v in Counter(split_url(u)[0].rpartition(".")[2] for u in urls).items()}
+    model = Boosted(rate=rate, suffixes=suffixes)
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.base = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return model
+    model.base, weight = 0.0, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     x = features(urls, model.suffixes)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
     binned = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], axis=1)
     z = np.full(len(y), model.base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        grad, hess = y - p, np.maximum(p * (1 - p), 1e-9)
+        grad, hess = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-9)
         node = np.zeros(len(y), dtype=np.int64)
         feat, cut = np.zeros(2**depth - 1, dtype=np.int64), np.full(2**depth - 1, np.inf)
         for level in range(depth):
@@ -176,7 +183,8 @@ def train(urls: list[str | None], labels: list[int], *, trees: int = 60, depth:
 def judge(pages: DataFrame, rules: list[Rule], model: Boosted, *, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row: the longest fitting rule's verdict, else block at scores from threshold.
 
-    rule: its text, else null. A null url, or one without "://", has an empty host and path. Other columns are ignored.
+    rule: its text, else null. A null url, or one without "://", has an empty host and path, and is scored as an empty or pathless one.
+    Repeated rows are judged each; an empty table gives an empty one; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +209,19 @@ def judge(pages: DataFrame, rules: list[Rule], model: Boosted, *, threshold: flo
     return map_arrow(flat, run, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
+def suffix_shares(pages: DataFrame, *, url_col: str = "url") -> dict[str, float]:
+    """The share of URLs (null: empty) with each last host label, over all rows; those under LEAST_SHARE are left out."""
+    host = lower_ascii(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
+    counts = pick(pages, url=(url_col, "string")).groupBy(F.substring_index(host, ".", -1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    return {r.suffix: r.n / total for r in counts.filter(F.col("n") >= LEAST_SHARE * total).collect()}
+
+
 def labelled_by_rules(pages: DataFrame, rules: list[Rule], *, rows: int = SAMPLE_ROWS, url_col: str = "url") -> tuple[list[str], list[int]]:
-    """At most `rows` distinct URLs that a rule decides, those of least hash, with that verdict (1: block): labels to train on."""
+    """At most `rows` distinct URLs that a rule decides, those of least hash, with that verdict (1: block): labels to train on.
+
+    URLs are narrowed down by their hash where they are read, to about twice as many as wanted, so that tasks send few to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Rules(rules)
@@ -210,5 +229,15 @@ def labelled_by_rules(pages: DataFrame, rules: list[Rule], *, rows: int = SAMPLE
             found = [(u, r.verdict == "block") for u in b.column(0).to_pylist() if u is not None and (r := table.find(*split_url(u)))]
             yield batch({"url": pa.array([u for u, _ in found], pa.string()), "label": pa.array([int(v) for _, v in found], pa.int32())})
 
-    got = map_arrow(pick(pages, url=(url_col, "string")), run, "url string, label int").distinct().orderBy(F.xxhash64("url"), "url").limit(rows).collect()
+    def least(urls: DataFrame) -> list:
+        return map_arrow(urls, run, "url string, label int").distinct().orderBy(F.xxhash64("url"), "url").limit(rows).collect()
+
+    urls = pick(pages, url=(url_col, "string"))
+    some = map_arrow(urls, run, "url string, label int").agg(F.approx_count_distinct("url").alias("n")).first().n
+    if some <= 2 * rows:
+        got = least(urls)
+    else:
+        upto = int(-(2**63) + 2**64 * (2 * rows / some))
+        got = least(urls.filter(F.xxhash64("url") < F.lit(upto)))
+        got = got if len(got) == rows else least(urls)  # the estimate was far off
     return [r.url for r in got], [r.label for r in got]
