@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batch, cut, map_arrow, pick
+from quern.llm.common import batch, cut, map_arrow, numbered, pick, place
 
 DIM = 1 << 14
 RANK = 8
@@ -27,6 +27,19 @@ SAMPLE_ROWS = 3000
 STATS = ["one", "log_words", "mean_length", "symbols", "upper", "digits", "punctuation", "exclamation", "unique", "repeats", "line_length", "repeated_lines", "top_word", "sentence_ends"]
 
 
+class _Places(dict):
+    """Places of words; it is emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        place = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIM
+        return place
+
+
+_places = _Places()
+
+
 def text_features(text: str, meta: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and weights of hashed words, and STATS, of a whole text."""
     words = text.split()
@@ -46,7 +59,7 @@ def text_features(text: str, meta: list[str]) -> tuple[np.ndarray, np.ndarray, n
             max(counts.values(), default=0) / max(n, 1), len(re.findall(r"[.!?](?:\s|$)", text)) / max(n, 1),
         ]
     )
-    places = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % DIM for w in counts), dtype=np.int64, count=len(counts))
+    places = np.fromiter(map(_places.__getitem__, counts), dtype=np.int64, count=len(counts))
     weights = np.log1p(np.fromiter(counts.values(), dtype=float, count=len(counts)))
     if meta:
         places = np.append(places, [zlib.crc32(m.encode()) % DIM for m in meta])
@@ -63,13 +76,21 @@ class Machine:
     w: np.ndarray
     v: np.ndarray  # (DIM + len(STATS), rank)
 
-    def score(self, at: np.ndarray, value: np.ndarray, stats: np.ndarray) -> float:
-        i = np.concatenate([at, DIM + np.arange(len(stats))])
-        x = np.concatenate([value, stats])
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of text_features of many texts, all at once."""
+        if not rows:
+            return np.empty(0)
+        i = np.concatenate([x for at, _, stats in rows for x in (at, DIM + np.arange(len(stats)))])
+        x = np.concatenate([v for _, value, stats in rows for v in (value, stats)])
+        size = np.array([len(at) + len(stats) for at, _, stats in rows])
+        first = np.cumsum(size) - size
         vx = self.v[i] * x[:, None]
-        pairs = 0.5 * (vx.sum(axis=0) ** 2 - (vx**2).sum(axis=0)).sum()
-        z = self.w0 + self.w[i] @ x + pairs
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        pairs = 0.5 * ((np.add.reduceat(vx, first) ** 2).sum(axis=1) - np.add.reduceat((vx**2).sum(axis=1), first))
+        z = self.w0 + np.add.reduceat(self.w[i] * x, first) + pairs
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+    def score(self, at: np.ndarray, value: np.ndarray, stats: np.ndarray) -> float:
+        return float(self.scores([(at, value, stats)])[0])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, *, rank: int = RANK, epochs: int = 12, rate: float = 0.03, l2: float = 1e-5, seed: int = 7) -> Machine:
@@ -135,25 +156,29 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, id_col
 
 
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", meta: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) for each row; null and empty texts score by their structure alone."""
+    """(doc_id, score) for each row, repeated ones too; null and empty texts score by their structure alone. An empty table gives an empty one."""
     shared, names = docs.sparkSession.sparkContext.broadcast(machine), meta or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield batch({"doc_id": b.column(0), "score": pa.array([m.score(*text_features(t, x)) for t, x in zip(b.column(1).to_pylist(), _meta(b, names, 2), strict=True)], pa.float64())})
+            rows = [text_features(t, x) for t, x in zip(b.column(1).to_pylist(), _meta(b, names, 2), strict=True)]
+            yield batch({"doc_id": b.column(0), "score": pa.array(m.scores(rows), pa.float64())})
 
     return map_arrow(_flat(docs, id_col, text_col, names), run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, machine: Machine, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns, in one pass."""
-    shared, spot = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col)
+    """The rows of docs that score at least threshold, with their columns, in one pass.
+
+    A null text is scored as an empty one; equal texts share their fate; an empty table stays empty.
+    """
+    shared, spot = docs.sparkSession.sparkContext.broadcast(machine), place(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m.score(*text_features(t or "", [])) >= threshold for t in b.column(spot).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(m.scores([text_features(t or "", []) for t in b.column(spot).to_pylist()]) >= threshold, pa.bool_()))
 
     kinds = ", ".join(f"_c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return map_arrow(docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), run, kinds).toDF(*docs.columns)
+    return map_arrow(numbered(docs), run, kinds).toDF(*docs.columns)
