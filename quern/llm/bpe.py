@@ -25,7 +25,7 @@ from quern.llm.tokens import groups, plain_chunks
 #: A split pattern of public byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
