@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import importlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +22,15 @@ def statistics(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(F.array(*each).alias("a")).select(F.inline("a"))
 
 
-def profile_numeric(df: DataFrame, column: str) -> DataFrame:
-    """One row: rows, null_pct, distinct (a null counts as one), least, greatest, mean, median, stddev (population)."""
+def profile_numeric(df: DataFrame, column: str, exact: bool = False, bins: int = BINS) -> DataFrame:
+    """One row: rows, null_pct, distinct (a null counts as one), least, greatest, mean, median, stddev (population), histogram.
+
+    The median is approximate (to a ten-thousandth of the rows) unless exact, which keeps all values in one task. histogram: rows in each
+    of `bins` bins, see histogram().
+    """
     c = F.col(column)
+    counts = histogram(df, column, bins).agg(F.collect_list(F.struct("bin", "n")).alias("have"))
+    per_bin = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.get(F.filter("have", lambda h: h["bin"] == i), F.lit(0))["n"], F.lit(0).cast("long")))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         (F.count_if(c.isNull()) * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("null_pct"),
@@ -29,16 +38,19 @@ def profile_numeric(df: DataFrame, column: str) -> DataFrame:
         F.min(c).alias("least"),
         F.max(c).alias("greatest"),
         F.mean(c).alias("mean"),
-        F.median(c).alias("median"),
+        (F.median(c) if exact else F.percentile_approx(c, 0.5, 10000)).alias("median"),
         F.stddev_pop(c).alias("stddev"),
-    )
+    ).join(F.broadcast(counts.select(per_bin.alias("histogram"))))
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """(bin, n), bins from 0 of equal width over the range; the greatest value is in the last, all equal values in bin 0. NULLs are left out."""
+    """(bin, n), bins from 0 of equal width over the range; the greatest value is in the last, all equal values in bin 0.
+
+    NULLs, NaN and infinite values are left out.
+    """
     kind = dict(df.dtypes)[column]
     value = F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(column)
-    some = df.select(value.cast("double").alias("x")).filter("x is not null")
+    some = df.select(value.cast("double").alias("x")).filter("x is not null and not isnan(x) and abs(x) < double('Infinity')")
     ends = some.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))))
     return some.join(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -61,8 +73,38 @@ def profile_bool(df: DataFrame, column: str) -> DataFrame:
 
 
 def profile_temporal(df: DataFrame, column: str) -> DataFrame:
+    """One row: nulls, distinct, least, greatest; for the spread, histogram() takes dates and timestamps."""
     c = F.col(column)
-    return df.agg(F.count_if(c.isNull()).alias("nulls"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+    return df.agg(F.count_if(c.isNull()).alias("nulls"), F.count_distinct(c).alias("distinct_count"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+
+
+def default_key(df: DataFrame) -> list[str]:
+    """A first column named id, or ending in id or key, with unique values that aren't null; else none."""
+    named = [c for c in df.columns if c.lower() == "id" or c.lower().endswith(("_id", "id", "key"))][:1]
+    if named:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(named[0]).alias("d")).first()
+        if r.n == r.d:
+            return named
+    return []
+
+
+def diff_positions(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
+    """diff() of tables without a key, row by row in a stated order: position (from 0), status, changed.
+
+    Positions are counted within ranges of the order and added up, so no task sees all rows; ties in order are settled by all columns.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+        by = [*[F.col(c).asc_nulls_last() for c in order], *[F.col(c).cast("string").asc_nulls_last() for c in df.columns if c not in order]]
+        rows = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("m_", F.monotonically_increasing_id()).persist()
+        part, within = F.shiftright("m_", 33), F.col("m_").bitwiseAND(F.lit((1 << 33) - 1))
+        counts = rows.groupBy(part.alias("p_")).agg(F.count(F.lit(1)).alias("n_"))
+        upto = Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+        before = counts.select("p_", F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("before_"))
+        return rows.withColumn("p_", part).join(F.broadcast(before), "p_").withColumn("position", F.col("before_") + within).drop("m_", "p_", "before_")
+
+    return diff(placed(left), placed(right), ["position"])
 
 
 def diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,11 +127,20 @@ class Comparison:
     messages: list[str] = field(default_factory=list)
 
 
-def compare(actual: DataFrame, expected: DataFrame, *, mode: str = "unordered", absolute: float = 1e-9, relative: float = 1e-6, ignore: list[str] | None = None, subset: bool = False, most: int = 20) -> Comparison:
-    """Compare small tables (fixtures). exact: with order; unordered; schema_only. Numbers are equal within either tolerance.
+def compare(actual: DataFrame, expected: DataFrame, *, mode: str = "unordered", absolute: float = 1e-9, relative: float = 1e-6, seconds: float = 0, ignore: list[str] | None = None, subset: bool = False, most: int = 20, function: str | Callable | None = None) -> Comparison:
+    """Compare small tables (fixtures). exact: with order; unordered; schema_only; custom: by function(actual, expected).
 
-    subset: only expected's columns count. Both tables are collected: for large ones, use diff().
+    Numbers are equal within either tolerance, times within `seconds`. subset: only expected's columns count. A custom function ("module:name"
+    or itself) returns true or false, a Comparison, or (equal, messages). Both tables are collected: for large ones, use diff().
     """
+    if mode == "custom":
+        if isinstance(function, str):
+            module, _, name = function.replace(":", ".").rpartition(".")
+            function = getattr(importlib.import_module(module), name)
+        if not callable(function):
+            raise ValueError("a custom comparison needs a function")
+        got = function(actual, expected)
+        return got if isinstance(got, Comparison) else Comparison(bool(got[0]), list(got[1])) if isinstance(got, tuple) else Comparison(bool(got), [] if got else ["the function says they differ"])
     skip = set(ignore or ())
     want = [c for c in expected.columns if c not in skip]
     have = [c for c in actual.columns if c not in skip and (not subset or c in want)]
@@ -108,8 +159,25 @@ def compare(actual: DataFrame, expected: DataFrame, *, mode: str = "unordered",
     def same(x, y) -> bool:
         if isinstance(x, (int, float)) and isinstance(y, (int, float)) and not isinstance(x, bool) and not isinstance(y, bool):
             return x == y or x != x and y != y or abs(x - y) <= absolute or abs(x - y) <= relative * max(abs(x), abs(y))
+        if seconds and isinstance(x, dt.datetime) and isinstance(y, dt.datetime):
+            return abs((x - y).total_seconds()) <= seconds
         return x == y
 
     for i, (x, y) in enumerate(zip(a, b, strict=False)):
         out += [f"row {i}, {c}: {p!r}, expected {q!r}" for c, p, q in zip(want, x, y, strict=True) if not same(p, q)]
     return Comparison(not out, out[:most])
+
+
+def export(df: DataFrame, path: str, format: str | None = None, single: bool = False) -> None:
+    """Write a result as csv, tsv, parquet, json or jsonl (json lines both), by the path's extension if no format is given.
+
+    A folder of files, written side by side; single: one file in it, for small results.
+    """
+    fmt = format or path.rstrip("/").rpartition(".")[2].lower()
+    if fmt not in ("csv", "tsv", "parquet", "json", "jsonl"):
+        raise ValueError(f"can't export as {fmt!r}")
+    w = (df.coalesce(1) if single else df).write.mode("overwrite")
+    if fmt in ("csv", "tsv"):
+        w.option("header", "true").option("sep", "\t" if fmt == "tsv" else ",").csv(path)
+    else:
+        w.format("parquet" if fmt == "parquet" else "json").save(path)

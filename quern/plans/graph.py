@@ -19,7 +19,8 @@ class PipelineError(Exception):
 
 @dataclass
 class Step:
-    """One step. source: location (path, format, options) with columns, filter, limit; sql: text; python: function(s); sink: target and strategy."""
+    """One step. source: location (path, or catalog and table, with format and options) with columns, filter, limit, and watermark, a column
+    by which only new rows are read; sql: text; python: function(s); sink: target and strategy."""
 
     name: str
     kind: str
@@ -27,11 +28,14 @@ class Step:
     sql: str | None = None
     function: Callable[..., Any] | str | None = None
     path: str | None = None
+    catalog: str | None = None
+    table: str | None = None
     format: str | None = None
     options: dict[str, str] = field(default_factory=dict)
     columns: list[str | dict[str, str]] = field(default_factory=list)
     filter: str | None = None
     limit: int | None = None
+    watermark: str | None = None
     strategy: str = "replace"
     strategy_options: dict[str, Any] = field(default_factory=dict)
     checks: list[dict[str, Any]] = field(default_factory=list)

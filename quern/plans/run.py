@@ -1,4 +1,4 @@
-"""Compile and run a pipeline on one session: steps become lazy DataFrames and views, sinks are the only actions."""
+"""Compile and run a pipeline: steps become lazy DataFrames, views of a session of their own, and sinks are the only actions."""
 
 from __future__ import annotations
 
@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.checks import Result, run_checks
-from quern.operators.write import write
+from quern.operators.watermark import Marks
+from quern.operators.write import Files, Target, write_to
 from quern.plans.graph import Pipeline, PipelineError, Step
-from quern.plans.sql import lineage, parse, tables
+from quern.plans.sql import depends, lineage, parse, tables
+from quern.sources.catalogs import Catalogs
 from quern.sources.files import read
 
-EXIT_CODES = {"ok": 0, "error": 1, "usage": 2, "partial": 3, "audit": 4, "assertion": 5, "compile": 10, "interrupted": 130}
+#: Fixed values.
+EXIT_CODES = {"ok": 0, "error": 1, "partial": 2, "test": 3, "assertion": 4, "audit": 5, "usage": 10, "interrupted": 130}
 
 
 @dataclass
@@ -37,6 +40,7 @@ class StepReport:
     status: str  # ok, failed, skipped
     seconds: float = 0.0
     rows: int | None = None
+    phases: dict[str, float] = field(default_factory=dict)  # seconds of checks before, write, checks after
     checks: list[Result] = field(default_factory=list)
     error: str | None = None
 
@@ -69,11 +73,33 @@ def load_function(ref: Any):
     return f
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, sources and tables, but views of its own, so that names of steps hide no one's views."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
+def moved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same plan in another session."""
+    if df.sparkSession is spark:
+        return df
+    jvm = spark.sparkContext._jvm
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.logicalPlan()), spark)
+
+
 class Compiled:
-    """Frames by step. Each step keeps its own plan, so asking for a step in the middle gives that step's rows."""
+    """Frames by step. Each step keeps its own plan, so asking for a step in the middle gives that step's rows.
+
+    catalogs: what steps with a table read from and write to; its default is Spark's own catalog. marks: of sources with a watermark.
+    """
 
-    def __init__(self, spark: SparkSession, pipeline: Pipeline, now: dt.datetime | None = None, replace: dict[str, DataFrame] | None = None):
-        self.spark, self.pipeline, self.now = spark, infer(spark, pipeline), now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    def __init__(self, spark: SparkSession, pipeline: Pipeline, now: dt.datetime | None = None, replace: dict[str, DataFrame] | None = None, catalogs: Catalogs | None = None, marks: Marks | None = None):
+        self.user, self.spark = spark, own_session(spark)
+        self.pipeline, self.now = infer(self.spark, pipeline), now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        self.catalogs, self.marks, self.next_marks = catalogs or Catalogs(spark, {"spark": {"type": "spark"}}, "spark"), marks, {}
         self.frames: dict[str, DataFrame] = {}
         self.held: list[DataFrame] = []
         readers = self.pipeline.readers()
@@ -82,8 +108,10 @@ class Compiled:
             df = (replace or {}).get(name)
             if df is None:
                 df = self._frame(step)
+            df = moved(df, self.spark)
             if step.kind != "sink":
-                if step.eager or step.kind != "source" and len(readers[name]) > 1:
+                # Rows that checks look at and others read are worked out once.
+                if step.eager or step.kind != "source" and len(readers[name]) > 1 or step.checks and readers[name]:
                     df = df.persist()
                     self.held.append(df)
                 df.createOrReplaceTempView(name)
@@ -92,7 +120,13 @@ class Compiled:
     def _frame(self, step: Step) -> DataFrame:
         try:
             if step.kind == "source":
-                df = read(self.spark, step.path, step.format, **step.options)
+                df = self.catalogs.read(step.catalog, step.table, step.format, **step.options) if step.table else read(self.spark, step.path, step.format, **step.options)
+                if step.watermark and self.marks is not None:
+                    if step.watermark not in df.columns:
+                        raise PipelineError("NO_COLUMN", f"{step.name}: {step.watermark}")
+                    df, mark = self.marks.batch(df, step.name, step.watermark)
+                    if mark is not None:
+                        self.next_marks[step.name] = mark
                 known = set(df.columns)
                 if step.filter:
                     df = df.filter(step.filter)
@@ -132,9 +166,26 @@ class Compiled:
             raise PipelineError("NO_RESULT", f"{step.name} returned nothing")
         return self.spark.createDataFrame(out)  # pandas, Arrow, rows
 
+    def target(self, step: Step) -> Target:
+        by = (step.strategy_options or {}).get("partition_by")
+        if step.table:
+            return self.catalogs.target(step.catalog, step.table, step.format, step.options, by)
+        return Files(self.spark, step.path, step.format or "parquet", dict(step.options), list(by or []))
+
+    def moved_view(self, name: str, df: DataFrame) -> None:
+        """A view of this pipeline's session besides its steps'."""
+        moved(df, self.spark).createOrReplaceTempView(name)
+
     def lineage(self, name: str):
         return lineage(self.frames[name])
 
+    def impact(self, name: str, column: str) -> list[tuple[str, str]]:
+        """(step, column) of all columns downstream that are made of this one."""
+        readers, todo, seen = self.pipeline.readers(), [name], set()
+        while todo:
+            todo += [r for r in readers[todo.pop(0)] if r not in seen and not seen.add(r)]
+        return [(s, c) for s in self.pipeline.order() if s in seen for c in depends(self.frames[s], self.frames[name], column)]
+
     def close(self) -> None:
         for df in self.held:
             df.unpersist()
@@ -157,9 +208,13 @@ def infer(spark: SparkSession, pipeline: Pipeline) -> Pipeline:
     return Pipeline(out)
 
 
-def run(spark: SparkSession, pipeline: Pipeline, *, sinks: list[str] | None = None, tags: list[str] | None = None, match_all: bool = False, fail_fast: bool = True, workers: int = 4, now: dt.datetime | None = None) -> Report:
-    """Run the selected sinks, up to `workers` at a time, checks on inner steps first. fail_fast: a failure skips sinks not yet begun."""
-    compiled = Compiled(spark, infer(spark, pipeline).select(sinks, tags, match_all), now)
+def run(spark: SparkSession, pipeline: Pipeline, *, sinks: list[str] | None = None, tags: list[str] | None = None, match_all: bool = False, fail_fast: bool = True, workers: int = 4, now: dt.datetime | None = None, catalogs: Catalogs | None = None, marks: Marks | None = None) -> Report:
+    """Run the selected sinks, up to `workers` at a time, checks on inner steps first. fail_fast: a failure skips sinks not yet begun.
+
+    A source's mark moves on once all sinks that read it, in the whole pipeline, have been written.
+    """
+    whole = infer(spark, pipeline)
+    compiled = Compiled(spark, whole.select(sinks, tags, match_all), now, catalogs=catalogs, marks=marks)
     report, broken = Report(), set()
     try:
         for name in compiled.pipeline.order():
@@ -187,6 +242,11 @@ def run(spark: SparkSession, pipeline: Pipeline, *, sinks: list[str] | None = No
         names = [n for n in compiled.pipeline.order() if compiled.pipeline.steps[n].kind == "sink"]
         with ThreadPoolExecutor(max(1, workers)) as pool:
             report.steps += list(pool.map(one, names))
+        done = {s.name for s in report.steps if s.status == "ok"}
+        for name, (value, kind) in compiled.next_marks.items():
+            need = {n for n, s in whole.steps.items() if s.kind == "sink" and name in whole.select([n]).steps}
+            if need <= done:
+                marks.set(name, value, kind)
     finally:
         compiled.close()
     return report
@@ -194,26 +254,40 @@ def run(spark: SparkSession, pipeline: Pipeline, *, sinks: list[str] | None = No
 
 def _sink(compiled: Compiled, step: Step) -> StepReport:
     began, r, df = time.time(), StepReport(step.name, "ok"), compiled.frames[step.name]
+    bad = lambda: any(not c.passed and c.severity == "error" for c in r.checks)
+    held = None
     try:
         before = [c for c in step.checks if c.get("phase", "assertion") == "assertion"]
-        r.checks = run_checks(df, before, tables=compiled.frames, now=compiled.now) if before else []
-        if any(not c.passed and c.severity == "error" for c in r.checks):
-            r.status = "failed"
-            return r
+        if before:
+            df = held = df.persist()
+            r.checks = run_checks(df, before, tables=compiled.frames, now=compiled.now)
+            r.phases["assertions"] = time.time() - began
+            if bad():
+                r.status = "failed"
+                return r
         seen = Observation(f"rows_{step.name}_{time.time_ns()}")
-        o = dict(step.strategy_options)
+        o = {k: v for k, v in step.strategy_options.items() if k != "partition_by"}
         if step.strategy == "scd2":
             o.setdefault("at", compiled.now)
-        write(df.observe(seen, F.count(F.lit(1)).alias("n")) if step.strategy in ("append", "replace", "partition") else df, step.path, step.strategy, format=step.format or "parquet", options=step.options, **o)
-        if step.strategy in ("append", "replace", "partition"):
-            r.rows = seen.get["n"]
+        to, wrote = compiled.target(step), time.time()
+        # rows: those that came to the sink; strategies that read their source several times get it worked out once.
+        once = step.strategy in ("append", "replace", "partition") and isinstance(to, Files)
+        if not once and held is None:
+            df = held = df.persist()
+        write_to(df.observe(seen, F.count(F.lit(1)).alias("n")) if once else df, to, step.strategy, **o)
+        r.phases["write"] = time.time() - wrote
+        r.rows = seen.get["n"] if once else df.count()
         after = [c for c in step.checks if c.get("phase") == "audit"]
         if after:
-            r.checks += run_checks(read(compiled.spark, step.path, step.format or "parquet", **step.options), after, tables=compiled.frames, now=compiled.now)
-            if any(not c.passed and c.severity == "error" for c in r.checks):
+            wrote = time.time()
+            r.checks += run_checks(to.read(), after, tables=compiled.frames, now=compiled.now)
+            r.phases["audits"] = time.time() - wrote
+            if bad():
                 r.status = "failed"
     except Exception as e:  # noqa: BLE001 - a sink's failure is part of the report
         r.status, r.error = "failed", str(e)
     finally:
+        if held is not None:
+            held.unpersist()
         r.seconds = time.time() - began
     return r

@@ -126,3 +126,51 @@ def lineage(df: DataFrame) -> list[Origin]:
         kind = "window" if "WindowExpression" in nodes else "aggregation" if "AggregateExpression" in nodes else "literal" if not found else ("direct" if found[0][1] == a.name() else "renamed") if bare else "multi_column" if len(found) > 1 else "expression"
         out.append(Origin(a.name(), kind, found))
     return out
+
+
+def depends(df: DataFrame, source: DataFrame, column: str) -> list[str]:
+    """Columns of df that are made of a column of source, a frame that df reads."""
+    out = source._jdf.queryExecution().analyzed().output()
+    wanted = {a.exprId().id() for a in _all(out) if a.name() == column}
+    if not wanted:
+        raise PipelineError("NO_COLUMN", column)
+    made: dict[int, set[int]] = {}
+
+    def ids(e) -> set[int]:
+        found = {e.exprId().id()} if e.getClass().getName().rpartition(".")[2] == "AttributeReference" else set()
+        return found.union(*[ids(c) for c in _all(e.children())])
+
+    def walk(node) -> None:
+        for e in _all(node.expressions()):
+            aliases(e)
+        below = _all(node.children())
+        if node.nodeName() == "Union":  # a column of a union is made of those at its place
+            for i, a in enumerate(_all(node.output())):
+                made.setdefault(a.exprId().id(), set()).update(c.output().apply(i).exprId().id() for c in below)
+        elif len(below) == 1 and node.nodeName() in ("View", "SubqueryAlias"):
+            for a, b in zip(_all(node.output()), _all(below[0].output()), strict=False):
+                made.setdefault(a.exprId().id(), set()).add(b.exprId().id())
+        for child in below:
+            walk(child)
+
+    def aliases(e) -> None:
+        if e.getClass().getName().rpartition(".")[2] == "Alias":
+            made.setdefault(e.exprId().id(), set()).update(ids(e.child()))
+        for child in _all(e.children()):
+            aliases(child)
+
+    plan = df._jdf.queryExecution().analyzed()
+    walk(plan)
+
+    def reaches(i: int) -> bool:
+        seen, todo = set(), [i]
+        while todo:
+            x = todo.pop()
+            if x in wanted:
+                return True
+            if x not in seen:
+                seen.add(x)
+                todo += made.get(x, ())
+        return False
+
+    return [a.name() for a in _all(plan.output()) if reaches(a.exprId().id())]

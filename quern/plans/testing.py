@@ -12,7 +12,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.functions.types import parse_type
-from quern.operators.inspect import compare
+from quern.operators.inspect import compare, export
 from quern.plans.graph import Pipeline
 from quern.plans.run import Compiled, infer
 from quern.sources.files import read
@@ -58,8 +58,8 @@ def fixture(spark: SparkSession, spec: dict[str, Any] | list[dict], base: Path)
     return spark.createDataFrame([tuple(r) for r in table], ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def run_test(spark: SparkSession, pipeline: Pipeline, spec: dict[str, Any], base: Path = Path(".")) -> Outcome:
-    """spec: name, target, inputs (by step), expected, and compare's options."""
+def run_test(spark: SparkSession, pipeline: Pipeline, spec: dict[str, Any], base: Path = Path("."), update: bool = False) -> Outcome:
+    """spec: name, target, inputs (by step), expected, and compare's options. update: an expected {file: ...} is written anew instead."""
     began = time.time()
     inputs = {k: fixture(spark, v, base) for k, v in (spec.get("inputs") or {}).items()}
     compiled = None
@@ -67,7 +67,11 @@ def run_test(spark: SparkSession, pipeline: Pipeline, spec: dict[str, Any], base
         part = infer(spark, pipeline).select([spec["target"]])
         steps = [s if s.name not in inputs else type(s)(name=s.name, kind="source", path="fixture") for s in part.steps.values()]
         compiled = Compiled(spark, Pipeline(steps).select([spec["target"]]), replace=inputs)
-        c = compare(compiled.frames[spec["target"]], fixture(spark, spec["expected"], base), **(spec.get("compare") or {}))
+        got = compiled.frames[spec["target"]]
+        if update and isinstance(spec["expected"], dict) and "file" in spec["expected"]:
+            export(got, str(base / spec["expected"]["file"]), single=True)
+            return Outcome(spec["name"], True, ["snapshot written"], time.time() - began)
+        c = compare(got, fixture(spark, spec["expected"], base), **(spec.get("compare") or {}))
         return Outcome(spec["name"], c.equal, c.messages, time.time() - began)
     except Exception as e:  # noqa: BLE001 - a test that breaks has failed
         return Outcome(spec["name"], False, [f"{type(e).__name__}: {str(e).splitlines()[0]}"], time.time() - began)
@@ -76,8 +80,8 @@ def run_test(spark: SparkSession, pipeline: Pipeline, spec: dict[str, Any], base
             compiled.close()
 
 
-def run_tests(spark: SparkSession, pipeline: Pipeline, folder: str | Path, tags: list[str] | None = None) -> list[Outcome]:
-    """All tests in *.test.yaml files below a folder; `extends` names another test of the file whose fields are taken where missing."""
+def run_tests(spark: SparkSession, pipeline: Pipeline, folder: str | Path, tags: list[str] | None = None, targets: list[str] | None = None, update: bool = False) -> list[Outcome]:
+    """All tests (of these targets) in *.test.yaml files below a folder; `extends` names another test of the file whose fields are taken where missing."""
     out = []
     for f in sorted(Path(folder).rglob("*.test.y*ml")):
         specs = yaml.safe_load(f.read_text()) or []
@@ -87,6 +91,6 @@ def run_tests(spark: SparkSession, pipeline: Pipeline, folder: str | Path, tags:
             while (up := s.get("extends")) and up not in seen:
                 seen.add(up)
                 s = {**by_name[up], **{k: v for k, v in s.items() if k != "extends"}, **({"extends": by_name[up]["extends"]} if "extends" in by_name[up] else {})}
-            if not s.get("abstract") and (not tags or set(tags) & set(s.get("tags") or [])):
-                out.append(run_test(spark, pipeline, s, f.parent))
+            if not s.get("abstract") and (not tags or set(tags) & set(s.get("tags") or [])) and (not targets or s.get("target") in targets):
+                out.append(run_test(spark, pipeline, s, f.parent, update))
     return out

@@ -1,16 +1,18 @@
-"""Arrow IPC files (file and stream format) as a data source: one partition a file; record batches pass without conversion."""
+"""Arrow IPC files (file and stream format) as a data source: one partition a file; record batches pass without conversion. And a writer."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
 
-def _open(path: str):
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         path = path[5:] if not path.startswith("file://") else path[7:]
     fs, inner = (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(path)
@@ -18,7 +20,7 @@ def _open(path: str):
 
 
 def _batches(path: str) -> Iterator[pa.RecordBatch]:
-    fs, inner = _open(path)
+    fs, inner = file_system(path)
     with fs.open_input_file(inner) as f:
         magic = f.read(6)
         f.seek(0)
@@ -30,7 +32,7 @@ def _batches(path: str) -> Iterator[pa.RecordBatch]:
 
 
 def _schema(path: str) -> pa.Schema:
-    fs, inner = _open(path)
+    fs, inner = file_system(path)
     with fs.open_input_file(inner) as f:
         magic = f.read(6)
         f.seek(0)
@@ -48,7 +50,7 @@ class ArrowFiles(DataSource):
         return "arrow_ipc"
 
     def _files(self) -> list[str]:
-        fs, inner = _open(self.options["path"])
+        fs, inner = file_system(self.options["path"])
         info = fs.get_file_info(inner)
         if info.type == pafs.FileType.File:
             return [self.options["path"]]
@@ -72,3 +74,22 @@ class ArrowReader(DataSourceReader):
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         for b in _batches(partition.path):
             yield b.select(self.names)
+
+
+def write(df: DataFrame, path: str) -> int:
+    """A file for each partition that has rows, added to the folder; how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = None
+        for b in batches:
+            if w is None:
+                fs, inner = file_system(path)
+                fs.create_dir(inner, recursive=True)
+                w = pa.ipc.new_file(f := fs.open_output_stream(f"{inner}/part-{uuid.uuid4().hex}.arrow"), b.schema)
+            w.write(b)
+        if w is not None:
+            w.close()
+            f.close()
+            yield pa.record_batch({"n": [1]})
+
+    return df.mapInArrow(run, "n long").count()

@@ -12,9 +12,9 @@ from hypothesis import strategies as st
 from quern.functions.nested import flatten, unflatten
 from quern.functions.types import parse_type
 from quern.operators.checks import run_checks
-from quern.operators.inspect import compare, diff, histogram
+from quern.operators.inspect import Comparison, compare, default_key, diff, export, histogram, profile_numeric
 from quern.operators.watermark import Marks
-from quern.operators.write import WriteError, write
+from quern.operators.write import Files, WriteError, partition_columns, write
 from quern.sources.files import detect, read
 
 
@@ -88,6 +88,8 @@ def test_types():
     assert parse_type("struct<a:int,b:array<decimal(10,2)>>").simpleString() == "struct<a:int,b:array<decimal(10,2)>>"
     assert parse_type("VARCHAR(10)[]").simpleString() == "array<string>"
     assert parse_type("timestamp[us, UTC]").simpleString() == "timestamp"
+    assert [parse_type("int8", x).simpleString() for x in ("arrow", "postgres", "duckdb")] == ["tinyint", "bigint", "bigint"]
+    assert parse_type("int8[]", "postgres").simpleString() == "array<bigint>" and parse_type("character varying(9)", "postgres").simpleString() == "string"
 
 
 def test_flatten(spark):
@@ -97,7 +99,7 @@ def test_flatten(spark):
 
 
 def test_marks(spark, tmp_path):
-    m, df = Marks(str(tmp_path / "m.json")), spark.range(10)
+    m, df = Marks(f"file://{tmp_path}/deep/m.json", spark), spark.range(10)
     assert m.unread(df, "x", "id").count() == 10
     m.advance(df.filter("id < 5"), "x", "id")
     assert m.unread(df, "x", "id").count() == 5
@@ -117,11 +119,12 @@ def test_formats(spark, tmp_path):
 def test_rest(spark):
     from quern.sources.rest import Rest
 
-    data = [{"id": i, "name": f"n{i}", "in": {"a": i}} for i in range(25)]
+    data, asked, sent = [{"id": i, "name": f"n{i}", "in": {"a": i}} for i in range(25)], [], []
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
             q = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(self.path).query))
+            asked.append(q)
             some = [r for r in data if "id" not in q or r["id"] == int(q["id"])]
             o, n = int(q.get("offset", 0)), int(q.get("limit", 1000))
             body = json.dumps({"total": len(some), "items": some[o : o + n]}).encode()
@@ -129,6 +132,13 @@ def test_rest(spark):
             self.end_headers()
             self.wfile.write(body)
 
+        def take(self):
+            sent.append((self.command, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(204)
+            self.end_headers()
+
+        do_POST = do_PUT = take
+
         def log_message(self, *a):
             pass
 
@@ -136,7 +146,99 @@ def test_rest(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(Rest)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    base = spark.read.format("rest").options(url=f"http://127.0.0.1:{server.server_port}/x", records="items", paginate="offset", page_size="10", filters="id=id")
+    url = f"http://127.0.0.1:{server.server_port}/x"
+    base = spark.read.format("rest").options(url=url, records="items", paginate="offset", page_size="10", filters="id=id")
     assert base.load().count() == 25
     assert base.option("total_path", "total").load().filter("id = 7").collect()[0].name == "n7"
+    ranged = spark.read.format("rest").options(url=url, records="items", filters="id>=from, id<to", flatten="true").load()
+    asked.clear()
+    assert ranged.columns == ["id", "name", "in.a"] and ranged.filter("id >= 4 and id < 9").agg({"id": "sum"}).first()[0] == 30
+    assert {"from": "4", "to": "9"} in asked
+    rows = spark.createDataFrame([(i, f"s{i}") for i in range(7)], "`id` int, `who.name` string").coalesce(1)
+    rows.write.format("rest").options(url=url, batch_size="3", unflatten="true", records="items").mode("append").save()
+    assert [(m, len(b["items"])) for m, b in sent] == [("POST", 3), ("POST", 3), ("POST", 1)] and sent[0][1]["items"][0] == {"id": 0, "who": {"name": "s0"}}
+    sent.clear()
+    rows.limit(1).write.format("rest").options(url=url, batch_size="1").mode("overwrite").save()
+    assert sent == [("PUT", {"id": 0, "who.name": "s0"})]
+    server.shutdown()
+
+
+def test_rest_pages_and_retries(spark):
+    from quern.sources.rest import Client, pages
+
+    data, calls = [{"id": i} for i in range(7)], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            u = urllib.parse.urlparse(self.path)
+            q = dict(urllib.parse.parse_qsl(u.query))
+            calls.append((self.headers.get("Authorization"), q))
+            if u.path == "/busy" and len(calls) < 3:
+                self.send_response(503 if len(calls) == 1 else 429)
+                self.send_header("Retry-After", "0")
+                self.end_headers()
+                return
+            at = int(q.get("cursor", q.get("at", (int(q.get("page", 1)) - 1) * 3)))
+            self.send_response(200)
+            if u.path == "/link" and at + 3 < len(data):
+                self.send_header("Link", f'</link?at={at + 3}>; rel="next"')
+            self.end_headers()
+            self.wfile.write(json.dumps({"rows": data[at : at + 3], "next": str(at + 3) if at + 3 < len(data) else None}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    for path, o in (("/p", {"paginate": "page", "page_size": "3"}), ("/c", {"paginate": "cursor"}), ("/link", {"paginate": "link"})):
+        assert [r for page in pages({"url": url + path, "records": "rows", **o}, {}) for r in page] == data, path
+    calls.clear()
+    assert Client({"auth": "bearer", "token": "t", "rate": "1000"}).get(url + "/busy", {"q": 1})[0]["rows"] == data[:3]
+    assert [c[0] for c in calls] == ["Bearer t"] * 3
+    assert Client({"auth": "basic", "user": "u", "password": "p"}).headers() == {"Authorization": "Basic dTpw"} and Client({"auth": "api_key", "key": "k"}).headers() == {"X-API-Key": "k"}
     server.shutdown()
+
+
+def test_partitioned_targets_stay_so(spark, tmp_path):
+    p, kinds = str(tmp_path / "t"), "k int, v string, day string"
+    make = lambda rows: spark.createDataFrame(rows, kinds)
+    got = lambda: sorted(map(tuple, spark.read.parquet(p).select("k", "v", "day").collect()))
+    write(make([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]), p, partition_by=["day"])
+    stamp = next((tmp_path / "t" / "day=z").glob("*.parquet"))
+    write(make([(2, "B", "y"), (4, "d", "x")]), p, "merge", keys=["k"])
+    assert got() == [(1, "a", "x"), (2, "B", "y"), (3, "c", "z"), (4, "d", "x")] and stamp.exists()
+    write(make([(3, "C", "x")]), p, "merge", keys=["k"])  # the row moves, and its partition goes
+    assert got() == [(1, "a", "x"), (2, "B", "y"), (3, "C", "x"), (4, "d", "x")] and not (tmp_path / "t" / "day=z").exists()
+    write(make([(3, "?", "x"), (5, "e", "w")]), p, "incremental_append", keys=["k"])
+    write(make([(5, "E", "w"), (5, "F", "w")]), p, "delete_insert", keys=["k"])
+    assert got() == [(1, "a", "x"), (2, "B", "y"), (3, "C", "x"), (4, "d", "x"), (5, "E", "w"), (5, "F", "w")]
+    write(make([(9, "i", "q")]), p, "truncate_insert")
+    assert got() == [(9, "i", "q")] and partition_columns(spark, p) == ["day"]
+
+
+def test_a_broken_swap_is_put_right(spark, tmp_path):
+    p = tmp_path / "t"
+    write(kv(spark, [(1, "a")]), str(p))
+    p.rename(tmp_path / "t.old-1")
+    assert Files(spark, str(p)).read().count() == 1 and not (tmp_path / "t.old-1").exists()
+
+
+def test_profiles_and_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert list(profile_numeric(df.filter("not isnan(x)"), "x").first().histogram) == [1, 0, 0, 0, 0, 0, 0, 1]
+    assert profile_numeric(df.limit(0), "x").first().rows == 0
+    t = kv(spark, [(1, "a"), (2, None)])
+    for name in ("a.csv", "a.tsv", "a.json", "a.jsonl", "a.parquet"):
+        export(t, str(tmp_path / name), single=True)
+        assert read(spark, str(tmp_path / name)).count() == 2
+    with pytest.raises(ValueError):
+        export(t, str(tmp_path / "a.odd"))
+    assert default_key(t.withColumnRenamed("k", "id")) == ["id"] and default_key(t) == []
+
+
+def test_compare_by_time_and_function(spark):
+    a, b = (spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 0, s))], "k int, t timestamp_ntz") for s in (0, 2))
+    assert not compare(a, b).equal and compare(a, b, seconds=2).equal
+    assert compare(a, b, mode="custom", function=lambda x, y: x.count() == y.count()).equal
+    assert compare(a, b, mode="custom", function=lambda x, y: (False, ["no"])).messages == ["no"] and compare(a, b, mode="custom", function=lambda x, y: Comparison(True)).equal
