@@ -277,7 +277,8 @@ def _reread(fmt: str) -> Query:
             ipc.write(e, path)
         else:
             look.export(e, path)
-        return read(spark, path).select("event_id", "user_id", "event_type", "value")
+        # csv's inferred integers are as narrow as their values
+        return read(spark, path).select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), "event_type", "value")
 
     return query
 
