@@ -24,6 +24,7 @@ from quern.llm.common import batch, cut, map_arrow, numbered, pick, place
 DIM = 1 << 14
 RANK = 8
 SAMPLE_ROWS = 3000
+SCORE_ENTRIES = 1 << 18  # features that are scored at once, or those of one text
 STATS = ["one", "log_words", "mean_length", "symbols", "upper", "digits", "punctuation", "exclamation", "unique", "repeats", "line_length", "repeated_lines", "top_word", "sentence_ends"]
 
 
@@ -77,9 +78,16 @@ class Machine:
     v: np.ndarray  # (DIM + len(STATS), rank)
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of text_features of many texts, all at once."""
-        if not rows:
-            return np.empty(0)
+        """Of text_features of many texts, SCORE_ENTRIES features at once."""
+        out, at = [np.empty(0)], 0
+        ends = np.cumsum([len(a) + len(stats) for a, _, stats in rows])
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORE_ENTRIES, "right")))
+            out.append(self._scores(rows[at:to]))
+            at = to
+        return np.concatenate(out)
+
+    def _scores(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         i = np.concatenate([x for at, _, stats in rows for x in (at, DIM + np.arange(len(stats)))])
         x = np.concatenate([v for _, value, stats in rows for v in (value, stats)])
         size = np.array([len(at) + len(stats) for at, _, stats in rows])
@@ -104,10 +112,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     positive = labels.mean()
     weight = np.where(labels == 1, 1.0, min(3.0, max(1.0, positive / max(1 - positive, 1e-9)))) if 0 < positive < 1 else np.ones(len(labels))
     tail = DIM + np.arange(len(STATS))
-    prepared = [(np.concatenate([a, tail]), np.concatenate([x, s])) for a, x, s in rows]
     for _ in range(epochs):
-        for k in rng.permutation(len(prepared)).tolist():
-            i, x = prepared[k]
+        for k in rng.permutation(len(rows)).tolist():
+            at, value, stats = rows[k]
+            i, x = np.concatenate([at, tail]), np.concatenate([value, stats])
             v = m.v[i]
             vx = v * x[:, None]
             s = vx.sum(axis=0)
@@ -137,22 +145,26 @@ def _meta(b: pa.RecordBatch, names: list[str], first: int) -> list[list[str]]:
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta: list[str] | None = None, **options) -> Machine:
     """Fit to at most `rows` labelled documents, those of least id hash. Labels that are null, or neither 0 nor 1, are not used.
 
-    A document with several labels counts once, with the least one. Only the features of the sample come to the driver.
+    A document with several labels counts once, with the least one; rows that repeat a doc_id count once, as the one of least hash. Only the
+    features of the sample come to the driver, 6 bytes for each place of a text (DIM at most).
     """
     names = meta or []
     known = pick(labels, doc_id=("doc_id", "long"), label=(label_col, "int")).filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     joined = _flat(docs, id_col, text_col, names).join(F.broadcast(sample), "doc_id")
+    parts = [c for c in joined.columns if c not in ("doc_id", "label")]
+    joined = joined.groupBy("doc_id", "label").agg(F.min_by(F.struct(*parts), F.xxhash64(*parts)).alias("row")).select("doc_id", *[f"row.{c}" for c in parts], "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [text_features(t, m) for t, m in zip(b.column("text").to_pylist(), _meta(b, names, 2), strict=True)]
             yield batch({"doc_id": b.column("doc_id"), "label": b.column("label"), "places": pa.array([g[0].astype(np.int16 if DIM <= 1 << 15 else np.int32).tobytes() for g in got], pa.binary()), "weights": pa.array([g[1].astype(np.float32).tobytes() for g in got], pa.binary()), "stats": pa.array([g[2].tobytes() for g in got], pa.binary())})
 
-    got = map_arrow(joined, run, "doc_id long, label int, places binary, weights binary, stats binary").toArrow().sort_by("doc_id")
-    width = np.int16 if DIM <= 1 << 15 else np.int32
-    unpacked = [(np.frombuffer(a, width).astype(np.int64), np.frombuffer(w, np.float32).astype(float), np.frombuffer(s)) for a, w, s in zip(got["places"].to_pylist(), got["weights"].to_pylist(), got["stats"].to_pylist(), strict=True)]
-    return fit(unpacked, got["label"].to_numpy().astype(float), **options)
+    got = map_arrow(joined, run, "doc_id long, label int, places binary, weights binary, stats binary").toArrow()
+    order, width = np.argsort(got["doc_id"].to_numpy(), kind="stable"), np.int16 if DIM <= 1 << 15 else np.int32
+    # Views of what has come, as small as it came: texts can be long.
+    views = [tuple(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(r, (width, np.float32, np.float64), strict=True)) for r in zip(got["places"], got["weights"], got["stats"], strict=True)]
+    return fit([views[k] for k in order.tolist()], got["label"].to_numpy()[order].astype(float), **options)
 
 
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", meta: list[str] | None = None) -> DataFrame:

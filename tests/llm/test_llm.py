@@ -280,6 +280,21 @@ def test_quality_model_edges(docs, empty):
     assert quality_model.score(empty, m).count() == 0
 
 
+def test_quality_sample_counts_repeated_ids_once(spark, monkeypatch):
+    """Rows that repeat a doc_id don't make the sample larger, and don't change what is learnt; nor does the number of features scored at once."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sizes, fit = [], quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda rows, labels, **options: sizes.append((len(rows), len(labels), {a.dtype.itemsize for a, _, _ in rows})) or fit(rows, labels, **options))
+    many = docs.unionByName(docs).unionByName(docs)
+    once, again = quality_model.train(docs, labels, rows=50), quality_model.train(many, labels, rows=50)
+    assert sizes == [(50, 50, {2})] * 2
+    assert once.w0 == again.w0 and (once.w == again.w).all() and (once.v == again.v).all()
+    rows = [quality_model.text_features(t or "", []) for t in TEXTS]
+    want = once.scores(rows)
+    monkeypatch.setattr(quality_model, "SCORE_ENTRIES", 40)
+    assert (once.scores(rows) == want).all() and len(want) == len(TEXTS)
+
+
 def test_quality_keeps_by_position(spark, docs, empty):
     """Columns that clash by case, null and repeated rows, empty tables: rows come back as they were."""
     m = quality_model.fit([], np.empty(0))
