@@ -24,7 +24,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.write import Files, Jdbc, Memory, Table, Target, _fs
+from quern.operators.write import Files, Jdbc, Memory, Table, Target, _fs, read_jdbc
 from quern.sources.files import EXTENSIONS, detect, read, resolve, table_path
 
 TYPES = ("filesystem", "spark", "jdbc", "memory")
@@ -94,7 +94,7 @@ class Catalogs:
                 options.pop("timestampAsOf", None)
             df = self.spark.read.options(**options).table(self._named(spec, table))
         elif kind == "jdbc":
-            df = self.spark.read.format("jdbc").options(**jdbc_options({**spec, **options}), dbtable=table).load()
+            df = read_jdbc(self.spark, jdbc_options({**spec, **options}), table)
         else:
             store = self.stores.setdefault(catalog or self.default, {})
             if table not in store:
@@ -141,7 +141,9 @@ class Catalogs:
 
     def columns(self, catalog: str, table: str) -> list[tuple[str, str]]:
         """Names and types; data isn't read (but for formats whose types are inferred)."""
-        return [(f.name, f.dataType.simpleString()) for f in self.read(catalog, table).schema.fields]
+        spec = self.spec(catalog)
+        df = self.spark.read.format("jdbc").options(**jdbc_options(spec), dbtable=table).load() if spec["type"] == "jdbc" else self.read(catalog, table)
+        return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
     def metadata(self, catalog: str, table: str) -> dict[str, Any]:
         """Columns and, of files, path, format, bytes, number of files and time of the last change."""

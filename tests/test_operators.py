@@ -1,8 +1,12 @@
 import datetime as dt
 import http.server
 import json
+import os
+import subprocess
+import sys
 import threading
 import urllib.parse
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -14,7 +18,7 @@ from quern.functions.types import parse_type
 from quern.operators.checks import run_checks
 from quern.operators.inspect import Comparison, compare, default_key, diff, export, histogram, profile_numeric
 from quern.operators.watermark import Marks
-from quern.operators.write import Files, WriteError, partition_columns, write
+from quern.operators.write import INSIDE, Files, WriteError, partition_columns, write
 from quern.sources.files import detect, read
 
 
@@ -224,6 +228,59 @@ def test_a_broken_swap_is_put_right(spark, tmp_path):
     assert Files(spark, str(p)).read().count() == 1 and not (tmp_path / "t.old-1").exists()
 
 
+IN_THE_DRIVER = """
+import datetime as dt, sys
+from decimal import Decimal
+from pyspark.sql import SparkSession
+from quern.operators import write as w
+from quern.sources.catalogs import Catalogs
+base = sys.argv[1]
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", f"file://{base}/shared").config("spark.sql.warehouse.dir", f"{base}/warehouse").getOrCreate()
+w.ROWS = w.WIDE_ROWS = 2  # several groups of rows
+c = Catalogs(spark, {"db": {"type": "jdbc", "url": "jdbc:derby:memory:t;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}}, "db")
+kinds, day = "k int, v string, d decimal(9,2), t timestamp, `V` double", dt.datetime(2024, 1, 2, 3, 4, 5)
+spark.conf.set("spark.sql.caseSensitive", "true")
+make = lambda *rows: spark.createDataFrame([(k, v, Decimal("1.50"), day, None) for k, v in rows], kinds).repartition(2)
+got = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+want = lambda *rows: sorted(((k, v, Decimal("1.50"), day, None) for k, v in rows), key=str)
+to = c.target("db", "KV")
+assert to.read() is None
+w.write_to(make((1, "a"), (2, "b"), (None, "n"), (4, None)), to, "replace")
+w.write_to(make((2, "B"), (3, "c")), to, "merge", keys=["k"])
+w.write_to(make((3, "?"), (9, "i")), to, "incremental_append", keys=["k"])
+rows = want((1, "a"), (2, "B"), (3, "c"), (None, "n"), (4, None), (9, "i"))
+assert got(to.read()) == rows, got(to.read())
+assert got(c.read("db", "KV", partition_column="k", lower_bound=0, upper_bound=9, num_partitions=3)) == rows
+assert c.read("db", "KV").dtypes == c.columns("db", "KV") and to.read().columns == ["k", "v", "d", "t", "V"]
+w.write_to(make((9, "I"), (9, "J")), to, "delete_insert", keys=["k"])
+assert [r[1] for r in got(to.read()) if r[0] == 9] == ["I", "J"]
+w.write_to(make((7, "g")).limit(0), to, "truncate_insert")
+assert got(to.read()) == [] and got(c.read("db", "(SELECT * FROM KV) q")) == []
+print("all held")
+"""
+
+
+def test_databases_inside_the_driver_on_a_cluster(tmp_path):
+    """Executors in processes of their own don't reach a database in the driver's memory; all rows get there and back all the same."""
+    import pyspark
+
+    (tmp_path / "home" / "work").mkdir(parents=True)
+    home, repo = Path(pyspark.__file__).parent, str(Path(__file__).parent.parent)
+    for p in home.iterdir():  # executors' logs go to work in Spark's home
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"PYTHONPATH": repo, "SPARK_HOME": str(tmp_path / "home"), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", IN_THE_DRIVER, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "all held" in out.stdout, out.stderr[-3000:]
+
+
+def test_which_databases_are_inside():
+    for url in ("jdbc:derby:memory:x;create=true", "jdbc:derby:/a/b", "jdbc:sqlite:/a.db", "jdbc:h2:mem:x", "jdbc:h2:/a", "jdbc:hsqldb:mem:x", "jdbc:duckdb:"):
+        assert INSIDE.match(url), url
+    for url in ("jdbc:derby://host:1527/x", "jdbc:h2:tcp://host/x", "jdbc:h2:/a;AUTO_SERVER=TRUE", "jdbc:hsqldb:hsql://host/x", "jdbc:postgresql://host/x"):
+        assert not INSIDE.match(url), url
+
+
 def test_profiles_and_exports(spark, tmp_path):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
     assert list(profile_numeric(df.filter("not isnan(x)"), "x").first().histogram) == [1, 0, 0, 0, 0, 0, 0, 1]
