@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Whitespace of the operators' contracts: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
 
+READ_ROWS = 64
+
 _own_dir: str | None = None
 
 
@@ -53,7 +55,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; texts can be long."""
+    """Bound what one Arrow batch, and one batch of the Parquet reader, holds; texts can be long.
+
+    The reader has no bound in bytes: its 4096 rows of 200 KB are 0.8 GB in one array, twice that while it grows.
+    """
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -86,6 +92,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no earlier work."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
